@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import merkle, packing, quality, simhash, token_counts, url_filter, word_bpe
+from siltstone.llm import merkle, packing, pii, preference, quality, simhash, token_counts, toxicity, url_filter, word_bpe
 from siltstone.session import table
 
 #: A label of a host whose pages are listed.
@@ -22,10 +22,23 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with the assistant against one whose last reply repeats what was said before; masks as start:end,..."""
+    talks = preference.grouped(table(spark, sf_dir, "conversations"))
+    pairs = talks.select(F.col("conv_id"), F.col("turns").alias("chosen"), preference.repeating(F.col("turns")).alias("rejected")).where("rejected is not null")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    formatted = preference.format_pairs(pairs, id_col="conv_id")
+    return formatted.select("conv_id", "n_prompt_turns", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,6 +51,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -47,7 +65,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filter, op3_quality_rules, op5_simhash, op6_word_bpe, op7_packing, op9_token_counts, op10_fingerprints)
+    every = (op1_url_filter, op2_pii, op3_quality_rules, op4_preference_format, op5_simhash, op6_word_bpe, op7_packing, op8_toxicity, op9_token_counts, op10_fingerprints)
     return {f.__name__: f for f in every}
 
 
@@ -98,5 +116,26 @@ FROM f
 """
 
 
+_OP4 = r"""
+WITH d AS (SELECT DISTINCT conv_id, coalesce(turn, -9223372036854775807 - 1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM d),
+l AS (SELECT conv_id, max(i) AS last FROM n WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT l.conv_id, last, max(CASE WHEN i < last AND role = 'assistant' THEN i END) AS said FROM l JOIN n ON l.conv_id = n.conv_id GROUP BY l.conv_id, last),
+t AS (SELECT b.conv_id, last, coalesce(n.text, '') AS text FROM b LEFT JOIN n ON n.conv_id = b.conv_id AND n.i = coalesce(said, last - 1)),
+r AS (SELECT n.conv_id, n.i, n.role, n.text AS c, CASE WHEN n.i = t.last THEN t.text ELSE n.text END AS r FROM n JOIN t ON n.conv_id = t.conv_id),
+p AS (SELECT conv_id, coalesce(min(CASE WHEN c <> r THEN i END) - 1, max(i)) AS n FROM r GROUP BY conv_id),
+e AS (SELECT r.conv_id, n, i, role, '<|im_start|>' || role || chr(10) || c || '<|im_end|>' || chr(10) AS ct, '<|im_start|>' || role || chr(10) || r || '<|im_end|>' || chr(10) AS rt FROM r JOIN p ON r.conv_id = p.conv_id),
+o AS (
+  SELECT *, sum(CASE WHEN i > n THEN length(ct) ELSE 0 END) OVER w AS ce, sum(CASE WHEN i > n THEN length(rt) ELSE 0 END) OVER w AS re
+  FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY i))
+SELECT conv_id, n AS n_prompt_turns, coalesce(string_agg(ct, '' ORDER BY i) FILTER (WHERE i <= n), '') AS prompt,
+       coalesce(string_agg(ct, '' ORDER BY i) FILTER (WHERE i > n), '') AS chosen,
+       coalesce(string_agg((ce - length(ct) + 13 + length(role))::BIGINT || ':' || (ce - 1)::BIGINT, ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant'), '') AS chosen_mask,
+       coalesce(string_agg(rt, '' ORDER BY i) FILTER (WHERE i > n), '') AS rejected,
+       coalesce(string_agg((re - length(rt) + 13 + length(role))::BIGINT || ':' || (re - 1)::BIGINT, ',' ORDER BY i) FILTER (WHERE i > n AND role = 'assistant'), '') AS rejected_mask
+FROM o GROUP BY conv_id, n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op3_quality_rules": _OP3}
+    return {"op1_url_filter": _OP1, "op3_quality_rules": _OP3, "op4_preference_format": _OP4}
