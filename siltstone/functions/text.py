@@ -11,7 +11,7 @@ from siltstone.functions.languages import EXTENSIONS
 def normalize_for_hash(text: Column) -> Column:
     """Line ends as \\n, no blanks at line ends, no empty lines at the end. Indentation counts."""
     unix = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(unix, "(?m)[ \t]+$", ""), "\n+\\z", "")
+    return F.regexp_replace(F.regexp_replace(unix, "(?dm)[ \t]+$", ""), "\n+\\z", "")
 
 
 def content_hash(text: Column) -> Column:
