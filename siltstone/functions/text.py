@@ -62,10 +62,21 @@ _MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩ
 _PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
 
 
+_BETWEEN = r"[^\p{L}\p{N}]+"
+
+
+def _unmarked(text: Column) -> Column:
+    return F.translate(F.lower(text), _MARKED, _PLAIN)
+
+
 def search_terms(text: Column) -> Column:
     """Runs of letters and digits, lower case, without marks."""
-    plain = F.translate(F.lower(text), _MARKED, _PLAIN)
-    return F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(_unmarked(text), _BETWEEN), lambda t: t != "")
+
+
+def spaced_terms(text: Column) -> Column:
+    """The same terms as one string, with a space before, between and after them."""
+    return F.concat(F.lit(" "), F.regexp_replace(_unmarked(text), _BETWEEN, " "), F.lit(" "))
 
 
 def phrases(query: str) -> list[str]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import phrases, search_terms
+from siltstone.functions.text import phrases, search_terms, spaced_terms
 from siltstone.session import ship
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -49,12 +49,10 @@ class Corpus:
         return max(math.log((self.rows - self.having[i] + 0.5) / (self.having[i] + 0.5)), LEAST_IDF)
 
 
-def occurrences(terms: Column, phrase: list[str]) -> Column:
-    """How often a phrase stands in an array of terms."""
-    if len(phrase) == 1:
-        return F.size(F.filter(terms, lambda t: t == phrase[0])).cast("long")
-    begins = F.transform(terms, lambda t, i: (t == phrase[0]) & reduce(lambda x, y: x & y, (F.coalesce(F.get(terms, i + k) == w, F.lit(False)) for k, w in enumerate(phrase) if k)))
-    return F.size(F.filter(begins, lambda hit: hit)).cast("long")
+def occurrences(spaced: Column, phrase: list[str]) -> Column:
+    """How often a phrase stands in terms with spaces around them; terms are letters and digits. Occurrences may overlap."""
+    head, *rest = phrase
+    return F.regexp_count(spaced, F.lit(f" {head}(?={''.join(f' {w}' for w in rest)} )")).cast("long")
 
 
 def _score(size: Column, counts: list[Column], corpus: Corpus) -> Column:
@@ -69,11 +67,11 @@ def scan(rows: DataFrame, query: str, columns: tuple[str, ...] = ("text",), into
         return rows.withColumn(into, F.lit(0.0)).limit(0)
     taken = set(rows.columns)
     own = lambda kind: next(n for i in range(99) if (n := f"_{kind}_{i}") not in taken)
-    terms = {own(f"terms{i}"): search_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(columns)}
+    terms = {own(f"terms{i}"): spaced_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(columns)}
     names = [own("size"), *(own(f"n{i}") for i in range(len(asked)))]
     total = lambda f: reduce(lambda x, y: x + y, (f(F.col(t)) for t in terms))
-    split = rows.withColumns(terms)  # a column of its own: inside a lambda the split would run for each term
-    counted = split.withColumns({names[0]: total(F.size).cast("long")} | {n: total(lambda t, p=p: occurrences(t, p)) for n, p in zip(names[1:], asked, strict=True)}).drop(*terms)
+    split = rows.withColumns(terms)
+    counted = split.withColumns({names[0]: total(lambda t: F.regexp_count(t, F.lit("[^ ]+"))).cast("long")} | {n: total(lambda t, p=p: occurrences(t, p)) for n, p in zip(names[1:], asked, strict=True)}).drop(*terms)
     said = counted.agg(F.count("*"), F.sum(names[0]), *(F.sum((F.col(n) > 0).cast("long")) for n in names[1:])).first()  # one row
     corpus = Corpus(said[0], (said[1] or 0) / max(said[0], 1), [x or 0 for x in said[2:]])
     hits = counted.where(reduce(lambda x, y: x & y, (F.col(n) > 0 for n in names[1:])))
