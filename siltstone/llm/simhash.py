@@ -83,7 +83,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked = materialize(components(links(nodes.select("_fp"), radius)).withColumnRenamed("node", "_fp"), "components")
     least = linked.join(nodes, "_fp").groupBy("root").agg(F.min("_least").alias("_component"))
     placed = nodes.join(linked.join(least, "root").select("_fp", "_component"), "_fp", "left")
-    of = placed.select("_fp", F.coalesce("_component", "_least").alias("component_id"))
+    # written: where both sides of the last join are dealt for it alone, Spark can split a fingerprint that many rows share
+    of = materialize(placed.select("_fp", F.coalesce("_component", "_least").alias("component_id")), "placed")
     return prints.join(of, "_fp").select(F.col("_id").alias("doc_id"), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
