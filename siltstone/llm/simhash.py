@@ -81,7 +81,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     nodes = prints.groupBy("_fp").agg(F.min("_id").alias("_least"))
     linked = materialize(components(links(nodes.select("_fp"), radius)).withColumnRenamed("node", "_fp"), "components")
-    least = linked.join(nodes, "_fp").groupBy("root").agg(F.min("_least").alias("_component"))
+    least = materialize(linked.join(nodes, "_fp").groupBy("root").agg(F.min("_least").alias("_component")), "least")  # written for the same reason
     placed = nodes.join(linked.join(least, "root").select("_fp", "_component"), "_fp", "left")
     # written: where both sides of the last join are dealt for it alone, Spark can split a fingerprint that many rows share
     of = materialize(placed.select("_fp", F.coalesce("_component", "_least").alias("component_id")), "placed")
