@@ -101,6 +101,10 @@ def postings(rows: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFram
     return rows.select(F.col(id_col).cast("string").alias("id"), *terms).mapInArrow(group, "term string, id string, size long, places array<long>")
 
 
+def _back(places: str, k: int) -> Column:
+    return F.transform(places, lambda p: p - k)
+
+
 def search_postings(index: DataFrame, rows: int, mean: float, query: str) -> DataFrame:
     """id, score from an index of ``postings``; rows, mean: of all indexed rows. Reads the query's terms only."""
     spark = index.sparkSession
@@ -114,7 +118,7 @@ def search_postings(index: DataFrame, rows: int, mean: float, query: str) -> Dat
             hits = part.select("id", "size", F.size("places").cast("long").alias("n"))
         else:
             # each place of the phrase's k-th term is moved back by k; where all terms meet it begins
-            moved = [part.where(F.col("term") == w).select("id", "size", F.transform("places", lambda p, k=k: p - k).alias(f"p{k}")) for k, w in enumerate(phrase)]
+            moved = [part.where(F.col("term") == w).select("id", "size", _back("places", k).alias(f"p{k}")) for k, w in enumerate(phrase)]
             both = reduce(lambda x, y: x.join(y.drop("size"), "id"), moved)
             begins = reduce(F.array_intersect, (F.col(f"p{k}") for k in range(len(phrase))))
             hits = both.select("id", "size", F.size(begins).cast("long").alias("n")).where("n > 0")

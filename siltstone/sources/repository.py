@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,13 +103,23 @@ def diff_files(root: str | Path, old: str, new: str) -> tuple[list[str], list[st
 
 
 def read_listed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
-    """file_path, content, file_hash (of the raw bytes) of listed files. The folder must be one that executors see."""
+    """file_path, content, file_hash (of the raw bytes) of listed files, read by the executors, who must see the folder.
+
+    Spark's own file readers pass over names that begin with a dot or an underscore, so these aren't used here.
+    """
+    base = str(Path(root).resolve())
+    schema = pa.schema([("file_path", pa.string()), ("content", pa.binary())])
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 64):  # 64 files of MOST_BYTES at once
+                names = b.column(0).slice(i, 64).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([(Path(base) / n).read_bytes() for n in names], pa.binary())], schema=schema)
+
     if not paths:
         return spark.createDataFrame([], "file_path string, content binary, file_hash string")
-    full = [f"{Path(root).resolve()}/{p}" for p in paths]
-    read = spark.read.format("binaryFile").load(full)
-    path = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), len(str(Path(root).resolve())) + 2, 1 << 30)
-    return read.select(path.alias("file_path"), "content", F.sha2("content", 256).alias("file_hash"))
+    listed = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    return listed.mapInArrow(read, "file_path string, content binary").withColumn("file_hash", F.sha2("content", 256))
 
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
