@@ -7,7 +7,7 @@ import re
 from siltstone.functions.chunker import mask
 from siltstone.functions.languages import CANONICAL
 
-#: Words of the languages and names too common to tell anything, sorted.
+#: Words of the languages and names too common to tell anything, sorted.
 NOISE = frozenset("""
 Array BigInt Boolean False None Number Object Promise String Symbol True abstract and any append as assert async await bool boolean break byte
 bytearray bytes cap case catch chan class classmethod close cls complex complex64 complex128 console const continue copy declare def default defer

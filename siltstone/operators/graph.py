@@ -10,7 +10,7 @@ from siltstone.session import materialize
 
 DAMPING, ITERATIONS = 0.85, 20
 #: Graphs up to so many edges are ranked on the driver, whose arrays they fit in; larger ones by the cluster.
-DRIVER_EDGES = 2_000_000
+DRIVER_EDGES = 1_000_000
 #: The rank of a neighbour that has none.
 LEAST_RANK = 0.001
 SCOPE = ("repo_root", "branch")

@@ -4,7 +4,7 @@ A query is words between white space; each is a phrase of the terms in it (``tre
 ``sitter``) which must stand side by side in one column. All phrases of a query must occur in a row, in
 whichever columns. The score is negative, lower is better, as in embedded full-text engines.
 
-``scan`` counts phrases in a table as it is: one pass, no shuffle, all in the JVM. ``postings`` makes an
+``scan`` counts phrases in a table as it is: one pass, no shuffle, all in the JVM; its hits are written. ``postings`` makes an
 index for many queries: a row for each term and document with its places, to be kept sorted by term so that
 a query reads its own terms only. Statistics are of all rows given, whatever scope is asked afterwards.
 """
@@ -17,11 +17,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import phrases, search_terms, spaced_terms
-from siltstone.session import ship
+from siltstone.session import materialize, ship
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Places of a column begin at a multiple of this, so that no phrase reaches into the next.
@@ -60,22 +60,28 @@ def _score(size: Column, counts: list[Column], corpus: Corpus) -> Column:
     return -reduce(lambda x, y: x + y, parts)
 
 
-def scan(rows: DataFrame, query: str, columns: tuple[str, ...] = ("text",), into: str = "score") -> DataFrame:
-    """Rows that match, with their score, unordered. A blank query, or one without terms, matches none."""
+def scan(rows: DataFrame, query: str, columns: tuple[str, ...] = ("text",), into: str = "score", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows that match, with their score, unordered. A blank query, or one without terms, matches none.
+
+    One pass: the hits (their columns ``keep``, or all) are written while the corpus is counted.
+    """
+    keep = tuple(rows.columns) if keep is None else keep
     asked = query_phrases(rows.sparkSession, query)
     if not asked:
-        return rows.withColumn(into, F.lit(0.0)).limit(0)
+        return rows.select(*keep).withColumn(into, F.lit(0.0)).limit(0)
     taken = set(rows.columns)
     own = lambda kind: next(n for i in range(99) if (n := f"_{kind}_{i}") not in taken)
     terms = {own(f"terms{i}"): spaced_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(columns)}
     names = [own("size"), *(own(f"n{i}") for i in range(len(asked)))]
     total = lambda f: reduce(lambda x, y: x + y, (f(F.col(t)) for t in terms))
     split = rows.withColumns(terms)
-    counted = split.withColumns({names[0]: total(lambda t: F.regexp_count(t, F.lit("[^ ]+"))).cast("long")} | {n: total(lambda t, p=p: occurrences(t, p)) for n, p in zip(names[1:], asked, strict=True)}).drop(*terms)
-    said = counted.agg(F.count("*"), F.sum(names[0]), *(F.sum((F.col(n) > 0).cast("long")) for n in names[1:])).first()  # one row
-    corpus = Corpus(said[0], (said[1] or 0) / max(said[0], 1), [x or 0 for x in said[2:]])
-    hits = counted.where(reduce(lambda x, y: x & y, (F.col(n) > 0 for n in names[1:])))
-    return hits.withColumn(into, _score(F.col(names[0]), [F.col(n) for n in names[1:]], corpus)).drop(*names)
+    counted = split.withColumns({names[0]: total(lambda t: F.regexp_count(t, F.lit("[^ ]+"))).cast("long")} | {n: total(lambda t, p=p: occurrences(t, p)) for n, p in zip(names[1:], asked, strict=True)})
+    seen = Observation()
+    said = [F.count(F.lit(1)).alias("rows"), F.sum(names[0]).alias("size"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"h{i}") for i, n in enumerate(names[1:]))]
+    hits = counted.select(*keep, *names).observe(seen, *said).where(reduce(lambda x, y: x & y, (F.col(n) > 0 for n in names[1:])))
+    held, got = materialize(hits, "hits"), seen.get
+    corpus = Corpus(got["rows"], (got["size"] or 0) / max(got["rows"], 1), [got[f"h{i}"] or 0 for i in range(len(asked))])
+    return held.withColumn(into, _score(F.col(names[0]), [F.col(n) for n in names[1:]], corpus)).drop(*names)
 
 
 def postings(rows: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import chunking, fusion, graph, keyword, vector
 from siltstone.plans import indexing, searching
-from siltstone.session import table
+from siltstone.session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,7 +164,7 @@ hits AS (SELECT doc_id, lang, text, round(-({score}), 9) AS score FROM c, s WHER
 
 
 def _keyword(spark, sf_dir, query: str, where: str = "true", k: int | None = None) -> DataFrame:
-    hits = keyword.scan(_docs(spark, sf_dir).select("doc_id", "lang", "text"), query).where(where).withColumn("score", F.round("score", 9))
+    hits = keyword.scan(_docs(spark, sf_dir).select("doc_id", "lang", "text"), query, keep=("doc_id", "lang")).where(where).withColumn("score", F.round("score", 9))
     return hits.select("doc_id", "score") if k is None else hits.select("doc_id", "score").orderBy("score", "doc_id").limit(k)
 
 
@@ -189,8 +189,9 @@ def keyword_phrase(spark, sf_dir):
 def keyword_index(spark, sf_dir):
     """The same from an index of postings: only the query's terms are read."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
-    index = keyword.postings(docs, "doc_id", ("text",)).where(F.col("term").isin(*TWO.split()))
-    n, total = docs.agg(F.count("*"), F.sum(F.size(T.search_terms(F.col("text"))))).first()
+    index = materialize(keyword.postings(docs, "doc_id", ("text",)), "postings")
+    sizes = index.select("id", "size").distinct().agg(F.sum("size")).first()[0]
+    n, total = docs.count(), sizes or 0
     return keyword.search_postings(index, n, total / max(n, 1), TWO).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
@@ -286,7 +287,7 @@ def call_edges(spark, sf_dir):
 @_query(f"WITH {_EDGES}, {_MAIN} SELECT h AS content_hash FROM (SELECT t AS h FROM edges SEMI JOIN main ON s = main.h UNION SELECT s FROM edges SEMI JOIN main ON t = main.h) WHERE h NOT IN (SELECT h FROM main)")
 def one_hop(spark, sf_dir):
     """Callers and callees of every document whose id is divisible by 100."""
-    return graph.neighbours(_edges(spark, sf_dir), _main(spark, sf_dir))
+    return graph.neighbours(materialize(_edges(spark, sf_dir), "edges"), _main(spark, sf_dir))
 
 
 @_query(f"WITH {_EDGES}, {_ranks_sql()} SELECT node, round(rank, 9) AS rank FROM r20")
@@ -301,7 +302,7 @@ SELECT x.h AS content_hash, round(any_value(rank) * count(*), 9) AS score FROM x
 )
 def related(spark, sf_dir):
     """Neighbours of those documents, by PageRank times the edges that lead to them."""
-    return graph.related(_edges(spark, sf_dir), _main(spark, sf_dir)).select("content_hash", F.round("score", 9).alias("score"))
+    return graph.related(materialize(_edges(spark, sf_dir), "edges"), _main(spark, sf_dir)).select("content_hash", F.round("score", 9).alias("score"))
 
 
 # Maintenance ----------------------------------------------------------------------------------------------

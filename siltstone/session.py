@@ -16,9 +16,20 @@ _shipped: set[str] = set()
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+#: Tables whose rows are texts, so that each costs more to read than to move.
+TEXTS = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a data folder; any path that Spark's readers open will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals out a table that is read by fewer tasks than there are cores, as one file of a single row group is; any larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
