@@ -153,45 +153,45 @@ class Crf:
                 labels.append(0 if own is None else LABELS.index(("B-" if a == own[1] else "I-") + own[0]))
             if tokens:
                 sentences.append((_features(text, tokens), labels))
-        n, longest, k = len(sentences), max(len(y) for _, y in sentences), len(LABELS)
-        x = np.full((n, longest, 12), WIDTH)  # one more feature, of weight 0, where there is no token
-        y, on = np.zeros((n, longest), np.int64), np.zeros((n, longest), bool)
-        for i, (f, labels) in enumerate(sentences):
-            x[i, : len(f)], y[i, : len(f)], on[i, : len(f)] = f, labels, True
-        used, x = np.unique(x, return_inverse=True)
-        x = x.reshape(n, longest, 12)
-        pad = len(used) - 1 if used[-1] == WIDTH else len(used)
-        w = [np.zeros((len(used) + 1, k)), np.zeros((k, k)), np.zeros(k)]
+        sentences.sort(key=lambda s: -len(s[1]))  # those that go on at step i are the first ones
+        size = np.array([len(y) for _, y in sentences])
+        n, longest, k = len(sentences), int(size[0]), len(LABELS)
+        live = [int((size > i).sum()) for i in range(longest)]
+        on = np.arange(longest) < size[:, None]
+        used, x = np.unique(np.concatenate([f for f, _ in sentences]), return_inverse=True)
+        x = x.reshape(-1, 12)  # of the tokens that there are, in the order of ``on``
+        gold = np.zeros((n, longest, k))
+        gold[on] = np.eye(k)[np.concatenate([y for _, y in sentences])]
+        w = [np.zeros((len(used), k)), np.zeros((k, k)), np.zeros(k)]
         m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-        gold = np.eye(k)[y] * on[..., None]
         pairs = np.einsum("ntj,ntk->jk", gold[:, :-1], gold[:, 1:])
         for t in range(1, rounds + 1):
-            score = w[0][x].sum(axis=2)
+            score = np.zeros((n, longest, k))
+            score[on] = w[0][x].sum(axis=1)
             alpha, beta = np.zeros_like(score), np.zeros_like(score)
             alpha[:, 0] = w[2] + score[:, 0]
             for i in range(1, longest):
-                a = _logsum(alpha[:, i - 1, :, None] + w[1], 1) + score[:, i]
-                alpha[:, i] = np.where(on[:, i, None], a, alpha[:, i - 1])
+                a = live[i]
+                alpha[:a, i] = _logsum(alpha[:a, i - 1, :, None] + w[1], 1) + score[:a, i]
             for i in range(longest - 2, -1, -1):
-                b = _logsum(w[1] + (score[:, i + 1] + beta[:, i + 1])[:, None, :], 2)
-                beta[:, i] = np.where(on[:, i + 1, None], b, 0.0)
-            z = _logsum(alpha[:, -1], 1)
-            p = np.exp(alpha + beta - z[:, None, None]) * on[..., None]
-            both = alpha[:, :-1, :, None] + w[1] + (score + beta)[:, 1:, None, :] - z[:, None, None, None]
-            q = (np.exp(both) * on[:, 1:, None, None]).sum(axis=(0, 1))
-            g0 = np.zeros_like(w[0])
-            for f in range(12):
-                np.add.at(g0, x[:, :, f].ravel(), (gold - p).reshape(-1, k))
-            g0[pad] = 0
+                a = live[i + 1]
+                beta[:a, i] = _logsum(w[1] + (score[:a, i + 1] + beta[:a, i + 1])[:, None, :], 2)
+            z = _logsum(alpha[np.arange(n), size - 1], 1)
+            p = np.zeros_like(score)
+            p[on] = np.exp(alpha[on] + beta[on] - np.repeat(z, size)[:, None])
+            inner = on[:, 1:]
+            both = alpha[:, :-1][inner][:, :, None] + w[1] + (score + beta)[:, 1:][inner][:, None, :] - np.repeat(z, size - 1)[:, None, None]
+            q = np.exp(both).sum(axis=0)
+            off = np.repeat((gold - p)[on], 12, axis=0)
+            g0 = np.stack([np.bincount(x.ravel(), off[:, j], len(used)) for j in range(k)], axis=1)
             grads = [g0, pairs - q, (gold[:, 0] - p[:, 0]).sum(axis=0)]
             for j, g in enumerate(grads):
                 g = g / n - l2 * w[j]
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.99 * v[j] + 0.01 * g * g
                 w[j] = w[j] + rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-6)
-            w[0][pad] = 0
         emit = np.zeros((WIDTH + 1, k), np.float32)
-        emit[used[used < WIDTH]] = w[0][: len(used)][used < WIDTH]
+        emit[used] = w[0]
         return cls(emit, w[1].astype(np.float32), w[2].astype(np.float32))
 
     def viterbi(self, features: list[np.ndarray]) -> list[np.ndarray]:
