@@ -456,9 +456,14 @@ def format_compact(spark, sf_dir):
     return searching.compact_lines(rows).select("doc_id", "line")
 
 
-@_query()
+@_query(
+    """
+SELECT doc_id, json_object('file_path', source, 'start_line', 1, 'end_line', 1 + length(text) - length(replace(text, chr(10), '')), 'language', lang, 'score', n_chars::DOUBLE, 'content', text)::VARCHAR AS json
+FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(n_chars, 0) AS n_chars, coalesce(text, '') AS text FROM documents)
+"""
+)
 def format_json(spark, sf_dir):
     """A result as JSON, as the search's machine output has it."""
-    rows = _docs(spark, sf_dir)
+    rows = _docs(spark, sf_dir).fillna("", ["source", "lang"]).fillna(0, ["n_chars"])
     shape = F.struct(F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), F.col("lang").alias("language"), F.col("n_chars").cast("double").alias("score"), F.col("text").alias("content"))
     return rows.select("doc_id", F.to_json(shape).alias("json"))
