@@ -45,8 +45,8 @@ SPAN, DECAY = 6, 0.5
 HASHED = 20
 #: Commonest witnesses that are also learnt with characters inserted.
 BENT = 100
-#: Words that a worker remembers.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers, and words whose subsequences are in memory at once.
+REMEMBERED, AT_ONCE = 1 << 18, 8_000
 _OFFSETS = [(j, k, m) for j in range(1, SPAN) for k in range(j + 1, SPAN) for m in range(k + 1, SPAN)]
 _WORD = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[^\w\s](?=[^\W\d_])")
@@ -98,8 +98,12 @@ class Model:
     logistic: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
-        row, code, weight = subsequences(words)
-        return np.bincount(row, weight * self.weights[code], len(words)) + self.bias
+        out = np.full(len(words), self.bias)
+        for i in range(0, len(words), AT_ONCE):
+            part = words[i : i + AT_ONCE]
+            row, code, weight = subsequences(part)
+            out[i : i + len(part)] += np.bincount(row, weight * self.weights[code], len(part))
+        return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.logistic[:-1] + self.logistic[-1], -50, 50)))
@@ -122,9 +126,7 @@ class Scorer:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known, new = {}, set().union(*split)
             listed = sorted(new)
-            for i in range(0, len(listed), 20_000):
-                part = listed[i : i + 20_000]
-                self.known.update(zip(part, self.model.margins(part).tolist(), strict=True))
+            self.known.update(zip(listed, self.model.margins(listed).tolist(), strict=True))
         return self.model.score(np.array([document_features(list(map(self.known.__getitem__, w))) for w in split], float).reshape(-1, 2))
 
 
