@@ -225,10 +225,26 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
     if not toxic or not clean:
         return None
     bags, calm = _apart(toxic), _apart(clean)
-    apart: tuple[list, list] = (bags, calm)
-    if len(bags) >= 100 and len(calm) >= 100:  # a fourth stays out, for the documents' logistic function
-        apart = bags[::4], calm[::4]
-        bags, calm = ([b for i, b in enumerate(x) if i % 4] for x in (bags, calm))
+    if len(bags) < 100 or len(calm) < 100:
+        model = _machine(bags, calm)
+        model.logistic = _calibrated(model, bags, calm)
+        return model
+    # the documents' logistic function is learnt from a fourth that the machine hasn't seen; then it sees all
+    seen = ([b for i, b in enumerate(x) if i % 4] for x in (bags, calm))
+    logistic = _calibrated(_machine(*seen), bags[::4], calm[::4])
+    model = _machine(bags, calm)
+    model.logistic = logistic
+    return model
+
+
+def _calibrated(model: Model, bags: list[list[str]], calm: list[list[str]]) -> np.ndarray:
+    words = sorted({w for d in bags + calm for w in d})
+    margin = dict(zip(words, model.margins(words).tolist(), strict=True))
+    x = np.array([document_features([margin[w] for w in d]) for d in bags + calm])
+    return _logistic(x, np.concatenate([np.ones(len(bags)), np.zeros(len(calm))]))
+
+
+def _machine(bags: list[list[str]], calm: list[list[str]]) -> Model:
     pos, neg = Counter(w for d in bags for w in d), Counter(w for d in calm for w in d)
     parts = [Counter(g for d in b for g in {g for w in d if len(w) > 2 for g in _grams(w)}) for b in (bags, calm)]
     share = len(bags) / (len(bags) + len(calm))
@@ -268,11 +284,6 @@ def fit(toxic: list[list[str]], clean: list[list[str]]) -> Model | None:
             break
         witnesses |= found
         negatives = [x for x in negatives if x not in witnesses] + hard
-    bags, calm = apart
-    words = sorted({w for d in bags + calm for w in d})
-    margin = dict(zip(words, model.margins(words).tolist(), strict=True))
-    x = np.array([document_features([margin[w] for w in d]) for d in bags + calm])
-    model.logistic = _logistic(x, np.concatenate([np.ones(len(bags)), np.zeros(len(calm))]))
     return model
 
 
