@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
@@ -33,14 +33,17 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def simhash(text: str, shingle: int = SHINGLE) -> int:
-    """Unsigned; a bit is set if it is set in over half of the shingles' hashes."""
+def shingles_of(text: str, shingle: int) -> Iterable[bytes]:
     words = text.encode().translate(_LOWER).split()  # on the six ASCII blanks
     if not words:
-        return 0
-    shingles = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+        return []
+    return [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+
+
+def simhash(text: str, shingle: int = SHINGLE) -> int:
+    """Unsigned; a bit is set if it is set in over half of the shingles' hashes."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64)
+    hashes = np.fromiter((digest(s, SEED) for s in shingles_of(text, shingle)), np.uint64)
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):  # of very long texts not all bits at once
         ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -93,8 +96,6 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
     Whole rows are shuffled once, to the row that stays.
     """
-    taken = set(docs.columns)
-    key, tie = (next(c for i in range(99) if (c := f"_{n}{i}") not in taken) for n in ("key", "tie"))
     spark = docs.sparkSession
     ship(spark)
     schema = pa.schema([("_id", pa.int64()), ("_tie", pa.int64()), ("_fp", pa.int64())])
@@ -105,14 +106,24 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
                 fps = np.array([simhash(t or "", shingle) for t in b.column(2).slice(i, j - i).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fps)], schema=schema)
 
-    text_hash = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    prints = materialize(docs.select(docs[id_col].cast("long"), text_hash.alias(tie), docs[text_col]).mapInArrow(run, "_id long, _tie long, _fp long"), "fingerprints")
+    prints = materialize(docs.select(docs[id_col].cast("long"), text_hash(docs, text_col), docs[text_col]).mapInArrow(run, "_id long, _tie long, _fp long"), "fingerprints")
     # nulls last: their flag is the first of the order
     order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")
     nodes = prints.groupBy("_fp").agg(F.min(order).alias("_least"))
     linked = materialize(components(links(nodes.select("_fp"), radius)).withColumnRenamed("node", "_fp"), "components")
+    return keep_least(docs, nodes, linked, id_col, text_col)
+
+
+def text_hash(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+
+
+def keep_least(docs: DataFrame, nodes: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The least row (``_least`` of ``nodes``) of each component (``root`` of ``linked``); nodes without links are their own."""
+    taken = set(docs.columns)
+    key, tie = (next(c for i in range(99) if (c := f"_{n}{i}") not in taken) for n in ("key", "tie"))
     placed = nodes.join(linked, "_fp", "left")
     stay = placed.groupBy(F.coalesce("root", "_fp").alias("_root")).agg(F.min("_least").alias("r")).select(F.col("r._id").alias("_id"), F.col("r._tie").alias("_tie"))
     stay = stay.select(F.xxhash64("_id", "_tie").alias(key), F.col("_tie").alias(tie))
-    whole = docs.withColumns({tie: text_hash}).withColumns({key: F.xxhash64(F.col(id_col).cast("long"), F.col(tie))})
+    whole = docs.withColumns({tie: text_hash(docs, text_col)}).withColumns({key: F.xxhash64(F.col(id_col).cast("long"), F.col(tie))})
     return whole.join(stay, [key, tie], "left_semi").dropDuplicates([key, tie]).select(*docs.columns)
