@@ -3,9 +3,10 @@
 A configuration is a multiset of piece lengths that fits one sequence. Pieces of one length are alike, so
 the program has one row for each length (``capacity`` at most) however many documents there are: least
 total weight of configurations that cover the length histogram. It is solved by multiplicative weights:
-each round a knapsack dynamic program finds the configuration of highest price, the weights of what it
-covers fall, and the rounds' plays are the fractional solution. Rounded down it gives whole sequences;
-what remains is packed best fit, configuration by configuration.
+each round a knapsack dynamic program finds configurations of high price and plays them, and the weights
+of what they cover fall, until all lengths are covered. Plays are whole sequences, so nothing is lost by
+rounding. Sequences that the program leaves with room are packed anew, best fit, configuration by
+configuration; the least of that, the program alone and best fit alone is taken.
 
 Only the histogram reaches the driver. Pieces find their place by their rank among those of their length,
 which is a running number within the task that made them plus the sum over tasks before; no window and no
@@ -35,8 +36,10 @@ from siltstone.session import materialize, ship
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 SEPARATOR = 0
-#: Rounds of multiplicative weights.
-ROUNDS = 160
+#: Of a length's pieces a round covers this share at most (one at least), so that prices follow what is covered.
+SHARE = 0.1
+#: Weights fall by exp(-FALL) until a length is covered; configurations within NEAR of the highest price are played.
+FALL, NEAR = 2.0, 0.1
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int64()), ("_rank", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -49,8 +52,8 @@ def pieces_of(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((a, capacity) for a in range(first, n, capacity))]
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of highest price, as index into ``lengths`` -> times. Lengths ascend."""
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity`` the highest price of a configuration, and the index into ``lengths`` of a piece in it (-1: less room does as well). Lengths ascend."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
@@ -59,35 +62,47 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int
             gain = best[c - lengths[:k]] + prices[:k]
             if gain[i := int(gain.argmax())] > best[c]:
                 best[c], choice[c] = gain[i], i
-    out: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if (i := int(choice[c])) < 0:
-            c -= 1
-        else:
-            out[i] = out.get(i, 0) + 1
-            c -= int(lengths[i])
-    return out
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover of the histogram: configurations (by length) and their weights, none of which covers a length beyond its count."""
-    covered = np.zeros(len(lengths))
-    played: dict[tuple, float] = {}
-    goal = float((lengths * counts).sum()) / capacity
-    for _ in range(rounds):
-        open_ = covered < counts * (1 - 1e-9)
-        if not open_.any():
-            break
-        price = np.where(open_, lengths / capacity * np.exp(-2 * covered / counts), 0.0)
-        found = {i: n for i, n in knapsack(lengths[open_], price[open_], capacity).items()}
-        at = np.flatnonzero(open_)[list(found)]
-        times = np.array(list(found.values()))
-        step = min(float(((counts[at] - covered[at]) / times).min()), max(1.0, goal / rounds * 4))
-        covered[at] += times * step
-        key = tuple(sorted(zip(lengths[at].tolist(), times.tolist(), strict=True)))
-        played[key] = played.get(key, 0.0) + step
-    return [(dict(k), x) for k, x in played.items()]
+    return best, choice
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float = SHARE) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations (by length) and how often each is played, which cover each length exactly, and the program's lower bound by the best prices met."""
+    left = counts.astype(np.int64)
+    most = np.maximum(1, (left * share).astype(np.int64))
+    played: dict[tuple, int] = {}
+    bound = 0.0
+    while (at := np.flatnonzero(left)).size:
+        open_ = lengths[at]
+        weights = lengths / capacity * np.exp(-FALL * (1 - left / counts))
+        best, choice = knapsack(open_, weights[at], capacity)
+        bound = max(bound, float((weights[at] * counts[at]).sum() / best[capacity]))  # prices over their best configuration's are feasible in the dual
+        value = weights[at] + best[capacity - open_]  # of the best configuration with each length
+        free = np.minimum(left, most)[at]
+        some = False
+        for i in np.argsort(-value, kind="stable").tolist():
+            if value[i] < (1 - NEAR) * best[capacity] - 1e-12:
+                break
+            if not free[i]:
+                continue
+            chosen, c = {i: 1}, capacity - int(open_[i])
+            while c > 0:
+                if (k := int(choice[c])) < 0:
+                    c -= 1
+                else:
+                    chosen[k] = chosen.get(k, 0) + 1
+                    c -= int(open_[k])
+            times = min(int(free[k]) // n for k, n in chosen.items())
+            if not times:
+                if some:
+                    continue
+                chosen, times = {k: m for k, n in chosen.items() if (m := min(n, int(free[k])))}, 1  # each round covers something
+            some = True
+            for k, n in chosen.items():
+                free[k] -= n * times
+                left[at[k]] -= n * times
+            key = tuple(sorted((int(open_[k]), n) for k, n in chosen.items()))
+            played[key] = played.get(key, 0) + times
+    return [(dict(k), n) for k, n in played.items()], bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -118,33 +133,27 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, share: float = SHARE) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used; together they hold the histogram exactly."""
     full = histogram.get(capacity, 0)
-    lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
-    if not len(lengths):
+    pieces = {int(k): n for k, n in sorted(histogram.items()) if n and k < capacity}
+    if not pieces:
         return [({capacity: 1}, full)] if full else []
-    counts = np.array([histogram[k] for k in lengths.tolist()], dtype=np.float64)
-    left = {int(k): histogram[int(k)] for k in lengths}
-    whole: list[tuple[dict[int, int], int]] = []
-    for chosen, x in sorted(solve(lengths, counts, capacity, rounds), key=lambda p: -p[1]):
-        times = min(int(x + 1e-9), *(left[k] // n for k, n in chosen.items()))
-        if times > 0 and sum(k * n for k, n in chosen.items()) == capacity:  # a sequence with room left waits for the rest
-            whole.append((chosen, times))
-            for k, n in chosen.items():
-                left[k] -= n * times
-    whole += best_fit(left, capacity)
-    plain = best_fit({int(k): histogram[int(k)] for k in lengths}, capacity)
-    if sum(n for _, n in plain) < sum(n for _, n in whole):
-        whole = plain
-    return ([({capacity: 1}, full)] if full else []) + whole
+    program, _ = solve(np.array(list(pieces), dtype=np.int64), np.array(list(pieces.values()), dtype=np.int64), capacity, share)
+    whole = [(chosen, n) for chosen, n in program if sum(k * m for k, m in chosen.items()) == capacity]
+    left = dict(pieces)
+    for chosen, n in whole:
+        for k, m in chosen.items():
+            left[k] -= m * n
+    ways = [whole + best_fit(left, capacity), program, best_fit(pieces, capacity)]
+    return ([({capacity: 1}, full)] if full else []) + min(ways, key=lambda way: sum(n for _, n in way))
 
 
 @dataclass
 class Slots:
     """Where the piece of a length with a rank goes. Its arrays have a row for each length of each
-    configuration: at most sqrt(2 * capacity) times as many as there are configurations, which are at
-    most the rounds plus two for each length."""
+    configuration: at most sqrt(2 * capacity) times as many as there are configurations, of which each round
+    of the program plays one for each length at most."""
 
     key: np.ndarray  # length * SPAN + first rank
     first: np.ndarray
@@ -194,7 +203,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, tex
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, _PIECES_SQL)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every row of ``docs`` with its place."""
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path(TOKENIZER)
@@ -204,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if not histogram:
         return spark.createDataFrame([], RESULT)
-    slots = spark.sparkContext.broadcast(Slots.of(plan(histogram, capacity, rounds)))
+    slots = spark.sparkContext.broadcast(Slots.of(plan(histogram, capacity, share)))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     base = by_task.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = pieces.join(base, ["_task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_rank")).alias("_at"))
