@@ -2,11 +2,16 @@
 
 A configuration is a multiset of piece lengths that fits one sequence. Pieces of one length are alike, so
 the program has one row for each length (``capacity`` at most) however many documents there are: least
-total weight of configurations that cover the length histogram. It is solved by multiplicative weights:
-each round a knapsack dynamic program finds configurations of high price and plays them, and the weights
-of what they cover fall, until all lengths are covered. Plays are whole sequences, so nothing is lost by
-rounding. Sequences that the program leaves with room are packed anew, best fit, configuration by
-configuration; the least of that, the program alone and best fit alone is taken.
+total weight of configurations that cover the length histogram. A knapsack dynamic program finds the
+configurations of highest price; multiplicative weights set the prices. They begin as the lengths
+themselves and fall where configurations of high price cover more than there is, rise where they cover less,
+class of lengths by class. Any prices over those of their best configuration are a lower bound of the program; the
+weights are changed until plan and bound are within ``GAP``, or neither moves any more.
+
+Rounding is by whole plays: a configuration of nearly the highest price is played as often as its rarest length allows,
+then that length is closed and the next prices are made. Of what has been played, sequences
+under some fill are opened again and their pieces packed best fit; the fill that takes the least sequences
+is chosen, of equal ones that which keeps most of the program. ``Plan`` tells the bound and that share.
 
 Only the histogram reaches the driver. Pieces find their place by their rank among those of their length,
 which is a running number within the task that made them plus the sum over tasks before; no window and no
@@ -18,6 +23,7 @@ each; an empty table gives no pieces. Columns besides the two that are named are
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -36,10 +42,14 @@ from siltstone.session import materialize, ship
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
 SEPARATOR = 0
-#: Of a length's pieces a round covers this share at most (one at least), so that prices follow what is covered.
-SHARE = 0.1
-#: Weights fall by exp(-FALL) until a length is covered; configurations within NEAR of the highest price are played.
-FALL, NEAR = 2.0, 0.1
+#: Configurations within NEAR of the highest price are played; a length's price falls by exp(-FALL) until it is covered.
+NEAR, FALL = 0.05, 0.5
+#: Plan over bound, less 1, at which prices are good enough.
+GAP = 0.01
+#: Classes of lengths with a weight each, rounds between two plans, and after how many plans it ends in which neither bound nor plan moves by that share.
+CLASSES, ROUNDS, STILL, MOVES = 16, 50, 4, 0.0005
+#: Sequences filled less than this are opened again, one threshold after another.
+FILLS = (0.0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 1.0)
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int64()), ("_rank", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -65,44 +75,83 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np
     return best, choice
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, share: float = SHARE) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """Configurations (by length) and how often each is played, which cover each length exactly, and the program's lower bound by the best prices met."""
+def configuration(lengths: np.ndarray, choice: np.ndarray, first: int, capacity: int) -> dict[int, int]:
+    """The best one that holds a piece of the ``first`` length, by index into ``lengths``."""
+    chosen, room = {first: 1}, capacity - int(lengths[first])
+    while room > 0:
+        k = int(choice[room])
+        if k < 0:
+            room -= 1
+        else:
+            chosen[k] = chosen.get(k, 0) + 1
+            room -= int(lengths[k])
+    return chosen
+
+
+def played(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole plays that cover each length exactly: configurations, by length, and how often each is played."""
     left = counts.astype(np.int64)
-    most = np.maximum(1, (left * share).astype(np.int64))
-    played: dict[tuple, int] = {}
-    bound = 0.0
+    out: dict[tuple, int] = {}
     while (at := np.flatnonzero(left)).size:
         open_ = lengths[at]
-        weights = lengths / capacity * np.exp(-FALL * (1 - left / counts))
-        best, choice = knapsack(open_, weights[at], capacity)
-        bound = max(bound, float((weights[at] * counts[at]).sum() / best[capacity]))  # prices over their best configuration's are feasible in the dual
-        value = weights[at] + best[capacity - open_]  # of the best configuration with each length
-        free = np.minimum(left, most)[at]
+        weights = (prices * np.exp(-FALL * (1 - left / counts)))[at]
+        best, choice = knapsack(open_, weights, capacity)
+        value = weights + best[capacity - open_]  # of the best configuration with each length
         some = False
         for i in np.argsort(-value, kind="stable").tolist():
             if value[i] < (1 - NEAR) * best[capacity] - 1e-12:
                 break
-            if not free[i]:
+            if not left[at[i]]:
                 continue
-            chosen, c = {i: 1}, capacity - int(open_[i])
-            while c > 0:
-                if (k := int(choice[c])) < 0:
-                    c -= 1
-                else:
-                    chosen[k] = chosen.get(k, 0) + 1
-                    c -= int(open_[k])
-            times = min(int(free[k]) // n for k, n in chosen.items())
+            chosen = configuration(open_, choice, i, capacity)
+            times = min(int(left[at[k]]) // n for k, n in chosen.items())
             if not times:
                 if some:
                     continue
-                chosen, times = {k: m for k, n in chosen.items() if (m := min(n, int(free[k])))}, 1  # each round covers something
+                chosen, times = {k: m for k, n in chosen.items() if (m := min(n, int(left[at[k]])))}, 1  # each round covers something
             some = True
             for k, n in chosen.items():
-                free[k] -= n * times
                 left[at[k]] -= n * times
             key = tuple(sorted((int(open_[k]), n) for k, n in chosen.items()))
-            played[key] = played.get(key, 0) + times
-    return [(dict(k), n) for k, n in played.items()], bound
+            out[key] = out.get(key, 0) + times
+    return [(dict(k), n) for k, n in out.items()]
+
+
+class Prices:
+    """Dual prices of the lengths, by multiplicative weights over classes of lengths. ``bound``: the best lower bound so far, of ``best``."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
+        self.lengths, self.counts, self.capacity = lengths, counts.astype(float), capacity
+        mass = np.cumsum(self.counts)
+        self.of = np.unique(np.minimum((mass - self.counts / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(int), return_inverse=True)[1]
+        self.size = np.bincount(self.of, self.counts)
+        self.weights, self.total, self.rounds = np.zeros(len(self.size)), np.zeros(len(lengths)), 0
+        self.best, self.mean, self.bound = lengths / capacity, lengths / capacity, 0.0
+        self._bound(self.best)
+
+    def _bound(self, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prices over their best configuration's are feasible in the dual."""
+        best, choice = knapsack(self.lengths, prices, self.capacity)
+        prices = prices / best[self.capacity]
+        if (bound := float(prices @ self.counts)) > self.bound:
+            self.bound, self.best = bound, prices
+        return prices, best / best[self.capacity], choice
+
+    def improve(self, rounds: int) -> None:
+        for _ in range(rounds):
+            self.rounds += 1
+            prices, best, choice = self._bound(self.lengths / self.capacity * np.exp(self.weights[self.of]))
+            self.total += prices
+            value = prices + best[self.capacity - self.lengths]
+            covered, plays = np.zeros(len(self.size)), 0.0
+            for i in np.flatnonzero(value >= 1 - NEAR).tolist():
+                play = self.counts[i] * np.exp(-10 / NEAR * (1 - value[i]))  # those of the highest price most
+                plays += play
+                for k, n in configuration(self.lengths, choice, i, self.capacity).items():
+                    covered[self.of[k]] += n * play
+            ratio = covered / plays * float(prices @ self.counts) / self.size
+            self.weights -= 0.3 / np.sqrt(self.rounds) * np.clip(ratio - 1, -1, 1)
+        self.mean = self._bound(self.total / self.rounds)[0]  # of all prices so far: steadier than each
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -133,20 +182,57 @@ def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, share: float = SHARE) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they hold the histogram exactly."""
+@dataclass
+class Plan:
+    """configurations: (lengths and how many of each, how often), which hold the histogram exactly. bound: no packing has fewer
+    sequences. program: of the sequences those that the program has played, the others are packed best fit."""
+
+    configurations: list[tuple[dict[int, int], int]]
+    bound: float
+    program: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.configurations)
+
+
+def rounded(program: list[tuple[dict[int, int], int]], capacity: int) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """The least of what the thresholds give, and how many sequences of it the program has played."""
+    best: list | None = None
+    least = kept = 0
+    for fill in FILLS:
+        whole, left = [], {}
+        for chosen, n in program:
+            if sum(k * m for k, m in chosen.items()) >= fill * capacity:
+                whole.append((chosen, n))
+            else:
+                for k, m in chosen.items():
+                    left[k] = left.get(k, 0) + m * n
+        way = whole + best_fit(left, capacity)
+        if best is None or sum(n for _, n in way) < least:
+            best, least, kept = way, sum(n for _, n in way), sum(n for _, n in whole)
+    return best, kept
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP) -> Plan:
+    """Full pieces are a sequence each; the others are packed by the program."""
     full = histogram.get(capacity, 0)
+    whole = [({capacity: 1}, full)] if full else []
     pieces = {int(k): n for k, n in sorted(histogram.items()) if n and k < capacity}
     if not pieces:
-        return [({capacity: 1}, full)] if full else []
-    program, _ = solve(np.array(list(pieces), dtype=np.int64), np.array(list(pieces.values()), dtype=np.int64), capacity, share)
-    whole = [(chosen, n) for chosen, n in program if sum(k * m for k, m in chosen.items()) == capacity]
-    left = dict(pieces)
-    for chosen, n in whole:
-        for k, m in chosen.items():
-            left[k] -= m * n
-    ways = [whole + best_fit(left, capacity), program, best_fit(pieces, capacity)]
-    return ([({capacity: 1}, full)] if full else []) + min(ways, key=lambda way: sum(n for _, n in way))
+        return Plan(whole, float(full), full)
+    lengths, counts = (np.array(list(x), dtype=np.int64) for x in (pieces, pieces.values()))
+    prices = Prices(lengths, counts, capacity)
+    best, kept = rounded(played(lengths, counts, prices.best, capacity), capacity)
+    used, still = sum(n for _, n in best), 0
+    while used > max(math.ceil(prices.bound - 1e-6), (1 + gap) * prices.bound) and still < STILL:
+        before = used, prices.bound
+        prices.improve(ROUNDS)
+        way, n_kept = rounded(played(lengths, counts, prices.mean, capacity), capacity)
+        if (n := sum(n for _, n in way)) < used:
+            best, kept, used = way, n_kept, n
+        still = still + 1 if used > before[0] * (1 - MOVES) and prices.bound < before[1] * (1 + MOVES) else 0
+    return Plan(whole + best, full + prices.bound, full + kept)
 
 
 @dataclass
@@ -203,7 +289,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, tex
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, _PIECES_SQL)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, gap: float = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every row of ``docs`` with its place."""
     spark = docs.sparkSession
     path = tokenizer or public_tokenizers.path(TOKENIZER)
@@ -213,7 +299,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     if not histogram:
         return spark.createDataFrame([], RESULT)
-    slots = spark.sparkContext.broadcast(Slots.of(plan(histogram, capacity, share)))
+    slots = spark.sparkContext.broadcast(Slots.of(plan(histogram, capacity, gap).configurations))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
     base = by_task.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = pieces.join(base, ["_task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_rank")).alias("_at"))
