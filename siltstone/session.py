@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -32,6 +32,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [column(df, c) for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with a number: one that no column of ``df`` has, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    tries = (f"{name}{i or ''}" for i in range(len(taken) + 1))
+    return next(c for c in tries if c.lower() not in taken)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, so that their Python can import it."""
     sc = spark.sparkContext
