@@ -1,11 +1,15 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Two fingerprints of 64 bits at most 3 apart differ in at most one bit of one of their halves. Each
-fingerprint emits, for either half, every variant within half the radius (one bit): itself, and the half
-with one of its set bits cleared. Of two halves that differ in one bit just one has that bit set, so its
-variant meets the other's own half. Variants are shuffled; colliding pairs are verified on all 64 bits
-and deduplicated. Balls over all 64 bits would meet in the middle as well, with variants at two bits on
-one side, at 2,081 rows for each fingerprint instead of 34 on average.
+Two fingerprints of 64 bits at most 3 apart meet at a third one that is within half of that of either: two bits from
+one, one bit from the other. Every fingerprint emits variants of all its 64 bits: itself, each one bit off, and each with
+two of its set bits cleared (561 rows on average). Of three differing bits one of the two fingerprints has two set, so it
+clears these and the other one flips the third; two bits are cleared by one, or one by each. Other
+variants two bits off aren't needed.
+
+Variants are shuffled, and no collision is a chance one: of fingerprints that meet at a key, one that is one bit off or none is at most
+3 from all others, which are two bits off at most. So a key needs no pairs: all that meet there are linked to the least of
+those that are near, as a star, and every two fingerprints within 3 bits are in one component. A key is met by the 2,081
+fingerprints around it at most, however many documents there are.
 
 Copies share a fingerprint and are one node; links are found and components made between distinct
 fingerprints only, so a group of copies costs no pairs.
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.graph import components
 from siltstone.llm.texts import blocks_of
-from siltstone.session import materialize, ship
+from siltstone.session import column, columns, materialize, ship, unused
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -61,22 +65,64 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 fps = np.array([simhash(t or "", shingle) for t in b.column(1).slice(i, j - i).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(fps)], schema=schema)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "_id long, _fp long")
+    return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, "_id long, _fp long")
+
+
+def variants(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index into ``prints``) of all variants. prints: unsigned."""
+    own = np.arange(len(prints))
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    low, high = np.triu_indices(64, 1)
+    pairs = bits[low] | bits[high]
+    at, pair = np.nonzero((prints[:, None] & pairs) == pairs)
+    keys = [prints, (prints[:, None] ^ bits).ravel(), prints[at] ^ pairs[pair]]
+    return np.concatenate(keys), np.concatenate([own, np.repeat(own, 64), at])
+
+
+#: Fingerprints whose variants are in memory at once, and rows for each task of the shuffle.
+AT_ONCE, ROWS_OF_TASK = 2048, 3_000_000
+_VARIANT = pa.schema([("_key", pa.int64()), ("_fp", pa.int64())])
+_LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: distinct fingerprints of ``nodes`` (_fp) which differ in 1 to ``radius`` bits; every such pair once or twice."""
-    if radius > 3:
-        raise ValueError("one bit in a half meets a radius of 3 at most")
-    # keys: the half's value, the upper half's moved beyond the lower's
-    keys = ["_fp & 4294967295L", "shiftrightunsigned(_fp, 32) + 4294967296L"]
-    bits = "filter(sequence(0, 31), b -> getbit(_fp, b + {at}) = 1)"
-    cleared = [f"transform({bits.format(at=32 * h)}, b -> ({k}) - shiftleft(1L, b))" for h, k in enumerate(keys)]
-    own = F.expr(f"array({', '.join(keys)})")
-    centre = nodes.select(F.col("_fp").alias("u"), F.explode(own).alias("_key"))
-    variant = nodes.select(F.col("_fp").alias("v"), F.explode(F.concat(own, *map(F.expr, cleared))).alias("_key"))
-    pairs = centre.join(variant, "_key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    """u, v: distinct fingerprints of ``nodes`` (_fp) which differ in 1 to 3 bits; enough of them to connect all such pairs."""
+    if radius != 3:
+        raise ValueError("variants of one and of two bits meet a radius of 3")
+
+    def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_numpy().view(np.uint64)
+            for i in range(0, len(every), AT_ONCE):
+                part = every[i : i + AT_ONCE]
+                keys, at = variants(part)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[at].view(np.int64))], schema=_VARIANT)
+
+    def star(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by key, of one key the nearest and least first, which is the centre if it is one bit off or none."""
+        key = centre = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, prints = (b.column(i).to_numpy() for i in (0, 1))
+            first = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
+            of = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))  # -1: the batch before began it
+            centres = prints[np.maximum(of, 0)]
+            if centre is not None:
+                centres[of < 0] = centre
+            near = np.bitwise_count(keys.view(np.uint64) ^ centres.view(np.uint64)) <= 1
+            hit = near & (centres != prints)
+            key, centre = keys[-1], centres[-1]
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(centres, prints)[hit]), pa.array(np.maximum(centres, prints)[hit])], schema=_LINK)
+
+    ship(nodes.sparkSession)
+    held = materialize(nodes.select("_fp"), "nodes")
+    n = max(held.sparkSession.sparkContext.defaultParallelism, held.count() * 561 // ROWS_OF_TASK)
+    # few tasks may hold all fingerprints, which are a 561th of what comes of them
+    dealt = held.repartition(n).mapInArrow(emit, "_key long, _fp long").repartition(n, "_key")
+    rows = dealt.sortWithinPartitions("_key", F.bit_count(F.col("_key").bitwiseXOR(F.col("_fp"))) > 1, "_fp")
+    return rows.mapInArrow(star, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +152,7 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
                 fps = np.array([simhash(t or "", shingle) for t in b.column(2).slice(i, j - i).to_pylist()], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(fps)], schema=schema)
 
-    prints = materialize(docs.select(docs[id_col].cast("long"), text_hash(docs, text_col), docs[text_col]).mapInArrow(run, "_id long, _tie long, _fp long"), "fingerprints")
+    prints = materialize(docs.select(column(docs, id_col).cast("long"), text_hash(docs, text_col), column(docs, text_col)).mapInArrow(run, "_id long, _tie long, _fp long"), "fingerprints")
     # nulls last: their flag is the first of the order
     order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")
     nodes = prints.groupBy("_fp").agg(F.min(order).alias("_least"))
@@ -115,15 +161,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int =
 
 
 def text_hash(docs: DataFrame, text_col: str) -> Column:
-    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return F.xxhash64(F.coalesce(column(docs, text_col).cast("string"), F.lit("")))
 
 
 def keep_least(docs: DataFrame, nodes: DataFrame, linked: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The least row (``_least`` of ``nodes``) of each component (``root`` of ``linked``); nodes without links are their own."""
-    taken = set(docs.columns)
-    key, tie = (next(c for i in range(99) if (c := f"_{n}{i}") not in taken) for n in ("key", "tie"))
+    key, tie = unused(docs, "_key"), unused(docs, "_tie")
     placed = nodes.join(linked, "_fp", "left")
     stay = placed.groupBy(F.coalesce("root", "_fp").alias("_root")).agg(F.min("_least").alias("r")).select(F.col("r._id").alias("_id"), F.col("r._tie").alias("_tie"))
     stay = stay.select(F.xxhash64("_id", "_tie").alias(key), F.col("_tie").alias(tie))
-    whole = docs.withColumns({tie: text_hash(docs, text_col)}).withColumns({key: F.xxhash64(F.col(id_col).cast("long"), F.col(tie))})
-    return whole.join(stay, [key, tie], "left_semi").dropDuplicates([key, tie]).select(*docs.columns)
+    own = text_hash(docs, text_col)
+    whole = docs.select(*columns(docs), F.xxhash64(column(docs, id_col).cast("long"), own).alias(key), own.alias(tie))
+    kept = whole.join(stay, [key, tie], "left_semi").dropDuplicates([key, tie])
+    return kept.select(*(column(kept, c) for c in docs.columns))
