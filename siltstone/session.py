@@ -48,6 +48,12 @@ def unused(df: DataFrame, name: str) -> str:
     return next(c for c in tries if c.lower() not in taken)
 
 
+def size_of(df: DataFrame) -> int | None:
+    """Bytes of the files that ``df`` reads, as the planner knows them; None where it doesn't."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else None
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per application, so that their Python can import it."""
     sc = spark.sparkContext
