@@ -331,19 +331,118 @@ def test_plans_hold_the_histogram():
 # Fingerprints ---------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("buckets", [1, 7, None])
-def test_edit_fingerprints(spark, buckets):
-    rows = [(i, t) for i, t in TEXTS if i is not None]
-    got = merkle.edit_fingerprints(documents(spark, rows), buckets=buckets).collect()
-    order = sorted(rows, key=lambda r: r[0])
-    want = []
-    for k, (i, t) in enumerate(order):
-        mine, after = t or "", order[(k + 1) % len(order)][1] or ""
+def brute_leaves(text):
+    """Leaves of each line, by scanning characters."""
+    out = []
+    for line in text.split("\n"):
+        sentences, at = [], 0
+        for i in range(1, len(line)):
+            if line[i] not in " \t" and line[i - 1] in " \t" and line[:i].rstrip(" \t")[-1:] in (".", "!", "?"):
+                sentences.append(line[at:i])
+                at = i
+        sentences.append(line[at:])
+        leaves = []
+        for s in sentences:
+            if s.count(" ") < 16:
+                leaves.append(s)
+                continue
+            words, run = re.findall(r"\S+\s*|\s+", s), ""
+            n = 0
+            for w in words:
+                run, n = run + w, n + 1
+                if (xxhash.xxh32_intdigest(w) % 8 == 0 and n > 2) or n >= 32:
+                    leaves.append(run)
+                    run, n = "", 0
+            if run:
+                leaves.append(run)
+        out.append(leaves)
+    return out
+
+
+def brute_fingerprint(text):
+    digest = lambda level, parts: hashlib.blake2b(b"".join(parts), digest_size=16, person=level).digest()
+    lines = text.split("\n")
+    sections, now = [], []
+    for line, leaves in zip(lines, brute_leaves(text), strict=True):
+        now.append([xxhash.xxh3_128_digest(x) for x in leaves])
+        if not line.strip() or xxhash.xxh32_intdigest(line, 1) % 8 == 0:
+            sections.append(now)
+            now = []
+    sections += [now] if now else []
+    nodes = [[digest(b"paragraph", p) for p in s] for s in sections]
+    tops = [digest(b"section", s) for s in nodes]
+    shown = [".".join([t.hex()[:12], *(n.hex()[:12] + "".join(x.hex()[:8] for x in p) for n, p in zip(ns, s, strict=True))]) for t, ns, s in zip(tops, nodes, sections, strict=True)]
+    return digest(b"root", tops).hex() + "/" + ",".join(shown)
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def brute_likeness(a, b):
+    x, y = ([leaf for line in brute_leaves(t) for leaf in line] for t in (a, b))
+    return 2 * longest_common(x, y) / (len(x) + len(y))
+
+
+def brute_edited(rows):
+    """doc_id, n_chars, edited_sha256, fingerprints and the highest likenesses there can be, for rows in order."""
+    out = []
+    for k, (i, t) in enumerate(rows):
+        mine, after = t or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(mine) // 2
         edited = mine[: len(mine) - half] + after[:half]
-        a, b, c = map(merkle.fingerprint, (mine, edited, after))
-        want.append((i, len(mine), hashlib.sha256(edited.encode()).hexdigest(), a, b, merkle.likeness(a, b), merkle.likeness(a, c)))
-    assert plain(got) == plain(want)
+        most = [min(1.0, brute_likeness(mine, x)) if len(mine) < 10_000 else None for x in (edited, after)]
+        out.append(((i, len(mine), hashlib.sha256(edited.encode()).hexdigest(), brute_fingerprint(mine), brute_fingerprint(edited)), most, (mine, edited, after)))
+    return out
+
+
+def check_edited(got, rows):
+    want = brute_edited(rows)
+    digests = lambda r: (r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"])
+    assert plain(map(digests, got)) == plain(x for x, _, _ in want)
+    most = {x: (m, texts) for x, m, texts in want}
+    for r in got:
+        (one, two), (mine, edited, after) = most[digests(r)]
+        for near, top, other in ((r["near_edited"], one, edited), (r["near_next"], two, after)):
+            assert 0 <= near <= 1 and (near == 1) == (mine == other)
+            assert top is None or 0.8 * top - 0.05 <= near <= top + 1e-9, (near, top)
+        assert (r["edited_leaves"] == "") == (mine == edited)
+
+
+@pytest.mark.parametrize("buckets", [1, 7, None])
+def test_edit_fingerprints(spark, buckets):
+    rows = sorted(((i, t) for i, t in TEXTS if i is not None), key=lambda r: r[0])
+    check_edited(merkle.edit_fingerprints(documents(spark, rows), buckets=buckets).collect(), rows)
+
+
+@pytest.mark.parametrize("first", [2**53 - 50, 2**60, -(2**63), 2**63 - 100, None])
+def test_the_next_one_goes_by_the_whole_id(spark, first):
+    """Ids that doubles can't tell apart, also at the ends of their range, and any 64 bits."""
+    r = random.Random(11)
+    ids = sorted({r.getrandbits(64) - (1 << 63) for _ in range(100)}) if first is None else [first + i for i in range(100)]
+    rows = [(i, f"Text number {r.random()}. It is one of many.") for i in ids]
+    shuffled = rows[:]
+    r.shuffle(shuffled)
+    check_edited(merkle.edit_fingerprints(documents(spark, shuffled), buckets=13).collect(), rows)
+
+
+def test_ranges_keep_the_order():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        ids = np.sort(r.integers(-20, 20, 300)) + (1 << 60)
+        ids[50:200] = ids[50]
+        ids.sort()
+        ties = r.integers(-(1 << 63), (1 << 63) - 1, 300)
+        order = np.lexsort((ties, ids))
+        cuts = ids[(np.arange(1, 12) * 300) // 12]
+        at = merkle.bucket_of(ids[order], ties[order], cuts)
+        assert (np.diff(at) >= 0).all() and len(np.unique(at)) > 4
+        assert max(Counter(at.tolist()).values()) < 120  # an id that half of the rows have is cut
 
 
 def test_every_row_has_a_next_one(spark):
@@ -353,6 +452,16 @@ def test_every_row_has_a_next_one(spark):
     assert merkle.fingerprints(documents(spark)).count() == len(TEXTS)
 
 
+def test_roots_are_equal_only_of_equal_texts():
+    texts = {t or "" for _, t in TEXTS} | {"a. b", "a.  b", "a.\nb", "a.b", "a. \nb", "\n", "\n\n", " ", "a. b.\n", "A. b"} | set(fuzz(12, 400))
+    assert len({merkle.fingerprint(t)[:32] for t in texts}) == len(texts)
+    for t in texts:
+        if len(t) < 10_000:
+            assert merkle.fingerprint(t) == brute_fingerprint(t)
+            assert str(merkle.Tree.parse(merkle.fingerprint(t))) == merkle.fingerprint(t)
+    assert merkle.fingerprint(None) == merkle.fingerprint("")
+
+
 def test_differing_finds_the_edit():
     lines = [f"Line {i} says this and that. It has a second sentence." for i in range(200)]
     a = "\n".join(lines)
@@ -360,7 +469,38 @@ def test_differing_finds_the_edit():
     b = "\n".join(lines)
     x, y = merkle.fingerprint(a), merkle.fingerprint(b)
     assert x != y and merkle.differing(x, x) == [] and merkle.likeness(x, x) == 1.0 and 0.95 < merkle.likeness(x, y) < 1
-    ((_, (i1, i2), _),) = merkle.differing(x, y)
-    assert i1 == 2 * 77 and i2 - i1 <= 2
-    assert merkle.fingerprint(None) == merkle.fingerprint("")
+    assert merkle.differing(x, y) == [((154, 155), (154, 155))] and merkle.listed(merkle.differing(x, y)) == "154:155>154:155"
     assert merkle.likeness(x, merkle.fingerprint("nothing alike")) < 0.01
+    assert merkle.likeness(merkle.fingerprint("One. Two. Three."), merkle.fingerprint("Three. Two. One.")) < 0.5  # order counts
+
+
+def test_what_is_outside_of_the_ranges_is_equal():
+    r = random.Random(13)
+    for _ in range(200):
+        words = [f"{r.choice('abcdefgh')}{r.randint(0, 9)}" + r.choice((" ", " ", ". ", "\n", ".\n\n")) for _ in range(r.randint(0, 200))]
+        other = words[:]
+        for _ in range(r.randint(0, 5)):
+            k = r.randint(0, len(other))
+            other[k : k + r.randint(0, 3)] = [f"new{r.randint(0, 99)}. "] * r.randint(0, 2)
+        a, b = "".join(words), "".join(other)
+        x, y = ([leaf for line in brute_leaves(t) for leaf in line] for t in (a, b))
+        apart = merkle.differing(merkle.fingerprint(a), merkle.fingerprint(b))
+        p = q = 0
+        for (i1, i2), (j1, j2) in [*apart, ((len(x), len(x)), (len(y), len(y)))]:
+            assert x[p:i1] == y[q:j1] and (i1, j1) >= (p, q)
+            p, q = i2, j2
+        assert (not apart) == (a == b)
+        assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b)) <= brute_likeness(a, b) + 1e-9 or a == b
+
+
+def test_comparing_takes_no_square_of_the_length():
+    import time
+
+    def seconds(n):
+        a, b = ("\n".join(f"Line {i} of {k}." for i in range(n)) for k in "ab")
+        x, y = merkle.Tree.of(a + "\n".join(["same"] * n)), merkle.Tree.of(b + "\n".join(["same"] * n))
+        start = time.process_time()
+        merkle.differing(x, y)
+        return time.process_time() - start
+
+    assert seconds(16_000) < 12 * max(seconds(2000), 0.01)
