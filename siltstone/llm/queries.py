@@ -106,13 +106,17 @@ m AS (
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum((base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines)::INT) AS f FROM f GROUP BY source),
-b AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mu, var_pop(f / n) AS v FROM h),
-p AS (SELECT mu, least(greatest(mu * (1 - mu) / greatest(v, 1e-12) - 1, 1e-3), 1e6) AS wt FROM b),
-bad AS (SELECT source FROM h, p WHERE (f + mu * wt) / (n + wt) > 0.5)
+a AS (SELECT *, base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines AS soft FROM f),
+h AS (SELECT source, count(*) AS n, sum(soft::INT) AS f FROM a GROUP BY source),
+b AS (SELECT least(greatest(avg(f / n), 1e-6), 1 - 1e-6) AS mu, var_pop(f / n) AS v, avg(1.0::DOUBLE / n) AS c FROM h),
+p AS (SELECT mu, least(greatest(mu * (1 - mu) / greatest(v - mu * (1 - mu) * c, 1e-12) - 1, 1e-3), 1e3) AS wt FROM b),
+s AS (SELECT source, mu, (f + mu * wt) / (n + wt) AS r, n + wt + 1 AS w FROM h, p),
+t AS (SELECT source, CASE
+    WHEN r - 2 * sqrt(r * (1 - r) / w) > mu + (1 - mu) / 3.0::DOUBLE THEN 'rejected'
+    WHEN r + 2 * sqrt(r * (1 - r) / w) < 0.5 * mu THEN 'trusted' ELSE 'watched' END AS verdict FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM f.source) AS kept
-FROM f
+       NOT base_failed AND CASE verdict WHEN 'rejected' THEN false WHEN 'trusted' THEN true ELSE NOT soft END AS kept, verdict AS host_verdict
+FROM a JOIN t ON a.source IS NOT DISTINCT FROM t.source
 """
 
 

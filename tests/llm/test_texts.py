@@ -114,25 +114,60 @@ def test_measures():
         assert quality.measure(t or "") == brute_quality(t)
 
 
-def test_quality_query(spark):
-    docs = documents(spark, TEXTS * 3)
+def brute_hosts(failures):
+    """failures: host and whether a document of it fails some rule. The verdict of each host, by the definition."""
+    by = defaultdict(list)
+    for host, some in failures:
+        by[host].append(some)
+    rates = [np.mean(v) for v in by.values()]
+    mean = min(max(np.mean(rates), 1e-6), 1 - 1e-6)
+    chance = mean * (1 - mean) * np.mean([1 / len(v) for v in by.values()])
+    weight = min(max(mean * (1 - mean) / max(np.var(rates) - chance, 1e-12) - 1, 1e-3), 1e3)
+    out = {}
+    for host, v in by.items():
+        n = len(v) + weight
+        rate = (sum(v) + mean * weight) / n
+        off = 2 * (rate * (1 - rate) / (n + 1)) ** 0.5
+        out[host] = "rejected" if rate - off > mean + (1 - mean) / 3 else "trusted" if rate + off < mean / 2 else "watched"
+    return out
+
+
+def check_quality(spark, rows, docs):
+    """rows: id, text, host."""
+    m = [brute_quality(t) for _, t, _ in rows]
+    base = [x[0] < 50 or 100 * x[4] > 50 * x[0] for x in m]
+    some = [b or 100 * x[2] > 10 * x[0] or 100 * x[3] > 30 * x[5] for b, x in zip(base, m, strict=True)]
+    verdict = brute_hosts((h, s) for (_, _, h), s in zip(rows, some, strict=True))
+    good = [not b and {"rejected": False, "trusted": True, "watched": not s}[verdict[h]] for (_, _, h), b, s in zip(rows, base, some, strict=True)]
     got = quality.judge(docs).collect()
-    failing = {}
-    hosts = defaultdict(list)
-    for k, (i, t) in enumerate(TEXTS * 3):
-        m = brute_quality(t)
-        failing[i, t] = m[0] < 50 or 100 * m[4] > 50 * m[0]
-        hosts[("src0", "src1", None)[k % 3]].append(failing[i, t] or 100 * m[2] > 10 * m[0] or 100 * m[3] > 30 * m[5])
-    rates = [np.mean(v) for v in hosts.values()]
-    a, b = quality.beta_prior(np.mean(rates), np.var(rates))
-    bad = {h for h, v in hosts.items() if (sum(v) + a) / (len(v) + a + b) > quality.HOST_LIMIT}
-    want = sorted((i or -1, brute_quality(t)[:5], failing[i, t], not failing[i, t] and ("src0", "src1", None)[k % 3] not in bad) for k, (i, t) in enumerate(TEXTS * 3))
-    assert sorted((r["doc_id"] or -1, tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), r["base_failed"], r["kept"]) for r in got) == want
+    want = [(i, *x[:5], b, k, verdict[h]) for (i, _, h), x, b, k in zip(rows, m, base, good, strict=True)]
+    assert plain(got) == plain(want)
     kept = quality.keep(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in got)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted((i or -1, t or "") for (i, t, _), k in zip(rows, good, strict=True) if k)
+    return verdict, Counter(zip(base, some, good, strict=True))
+
+
+def test_quality_query(spark):
+    rows = TEXTS * 3
+    check_quality(spark, [(i, t, ("src0", "src1", None)[k % 3]) for k, (i, t) in enumerate(rows)], documents(spark, rows))
     assert quality.judge(documents(spark, [])).count() == 0 and quality.keep(documents(spark, [])).count() == 0
 
 
+def test_hosts_decide(spark):
+    """A bad host goes as a whole, a good one keeps documents that others lose, and a bad document or two condemn no small host."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    fine = lambda: " ".join(word() for _ in range(60))
+    soft = lambda: fine() + " #### $$$$ ####"
+    shares = {"bad": (120, 100), "good": (400, 2), "tiny": (2, 2), **{f"usual{i}": (100, 15 + i) for i in range(8)}}
+    rows = [(i, soft() if k < n else fine(), host) for i, (host, k, n) in enumerate((h, k, n) for h, (all_, n) in shares.items() for k in range(all_))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    verdict, decided = check_quality(spark, rows, docs)
+    assert verdict["bad"] == "rejected" and verdict["good"] == "trusted" and verdict["tiny"] == verdict["usual3"] == "watched"
+    assert decided[False, False, False] == 20 and decided[False, True, True] == 2
+
+
 def test_a_small_host_is_shrunk_to_the_mean():
     a, b = quality.beta_prior(0.1, 0.005)
     assert (1 + a) / (1 + a + b) < 0.5 < (60 + a) / (60 + a + b)
