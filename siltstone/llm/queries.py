@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from siltstone.llm import merkle, packing, pii, preference, quality, simhash, token_counts, toxicity, url_filter, word_bpe
 from siltstone.session import table
 
-#: A label of a host whose pages are listed.
-SPAM = r"(^|\.)(spam-farm|cheap-pills)\."
+#: Of so many pages one is on the list: no host tells which.
+LISTED = 7
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list holds the canonical URLs of all pages of known spam hosts."""
+    """The list stands for one that was made elsewhere: the canonical URLs of the pages whose id is divisible by 7, on any host, ruled or not."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    listed = pages.where(host.rlike(SPAM)).select(url_filter.canonical(host, path).alias("listed"))
-    return url_filter.filter_urls(pages, listed)
+    listed = pages.where(F.col("page_id") % LISTED == 0).select(url_filter.canonical(host, path).alias("listed"))
+    return url_filter.filter_urls(pages, listed).drop("by")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ WITH s AS (
   FROM pages),
 c AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') END AS canon FROM s),
-l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '(^|\.)(spam-farm|cheap-pills)\.')),
+l AS (SELECT DISTINCT canon FROM c WHERE page_id % 7 = 0),
 r AS (
   SELECT page_id, host, path, canon, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
