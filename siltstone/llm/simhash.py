@@ -68,60 +68,93 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, "_id long, _fp long")
 
 
+#: What a variant differs in from its fingerprint: nothing, one bit, two bits; its number is its place here.
+_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
+MASKS = np.concatenate([np.zeros(1, np.uint64), _BITS, *(_BITS[i] | _BITS[i + 1 :] for i in range(64))])
+#: Variants of lower numbers are one bit off at most.
+NEAR = 65
+
+
 def variants(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index into ``prints``) of all variants. prints: unsigned."""
-    own = np.arange(len(prints))
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    low, high = np.triu_indices(64, 1)
-    pairs = bits[low] | bits[high]
-    at, pair = np.nonzero((prints[:, None] & pairs) == pairs)
-    keys = [prints, (prints[:, None] ^ bits).ravel(), prints[at] ^ pairs[pair]]
-    return np.concatenate(keys), np.concatenate([own, np.repeat(own, 64), at])
-
-
-#: Fingerprints whose variants are in memory at once, and rows for each task of the shuffle.
-AT_ONCE, ROWS_OF_TASK = 2048, 3_000_000
-_VARIANT = pa.schema([("_key", pa.int64()), ("_fp", pa.int64())])
+    """(index into ``prints``, number) of all variants, ascending. prints: unsigned."""
+    emitted = (prints[:, None] & MASKS) == MASKS
+    emitted[:, :NEAR] = True
+    return np.nonzero(emitted)
+
+
+#: Fingerprints whose variants are in memory at once, and variants for each task of the shuffle.
+AT_ONCE, TASK_ROWS = 4096, 3_000_000
+_DEALT = pa.schema([("_task", pa.int32()), ("_fp", pa.list_(pa.int64())), ("_n", pa.list_(pa.int16())), ("_variant", pa.list_(pa.int16()))])
+_DEALT_SQL = "_task int, _fp array<long>, _n array<smallint>, _variant array<smallint>"
 _LINK = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
+def dealt(prints: np.ndarray, tasks: int) -> pa.RecordBatch:
+    """A row for each task that gets variants: the fingerprints, how many variants of each, and their numbers. A variant takes two bytes, and
+    its share of eight and two of its fingerprint."""
+    at, number = variants(prints)
+    keys = prints[at] ^ MASKS[number]
+    keys ^= keys >> np.uint64(32)
+    task = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(tasks)
+    order = np.argsort(task.astype(np.uint16 if tasks <= 1 << 16 else np.uint32), kind="stable")  # so of one task by fingerprint
+    task, at, number = task[order], at[order], number[order]
+    begins = np.flatnonzero(np.concatenate([[True], (task[1:] != task[:-1]) | (at[1:] != at[:-1])]))
+    tops = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
+    n = np.diff(np.append(begins, len(at)))
+    of_prints = pa.array(np.append(np.searchsorted(begins, tops), len(begins)).astype(np.int32))
+    of_variants = pa.array(np.append(tops, len(at)).astype(np.int32))
+    return pa.RecordBatch.from_arrays([
+        pa.array(task[tops].astype(np.int32)), pa.ListArray.from_arrays(of_prints, pa.array(prints[at[begins]].view(np.int64))),
+        pa.ListArray.from_arrays(of_prints, pa.array(n.astype(np.int16))), pa.ListArray.from_arrays(of_variants, pa.array(number.astype(np.int16))),
+    ], schema=_DEALT)
+
+
+def stars(prints: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the fingerprints that meet at a key to its centre: the least of those that are one bit off or none, where there is one."""
+    keys = prints ^ MASKS[number]
+    order = np.argsort(keys)
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    met = np.concatenate([same, [False]]) | np.concatenate([[False], same])  # most keys are one fingerprint's only
+    keys, order = keys[met], order[met]
+    if not len(keys):
+        return prints[:0], prints[:0]
+    prints, near = prints[order].view(np.int64), number[order] < NEAR
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    none = np.iinfo(np.int64).max
+    centre = np.minimum.reduceat(np.where(near, prints, none), np.flatnonzero(first))[np.cumsum(first) - 1]
+    # a fingerprint of that value is a centre like any other
+    has = np.maximum.reduceat(near, np.flatnonzero(first))[np.cumsum(first) - 1]
+    hit = has & (centre != prints)
+    return np.minimum(centre, prints)[hit], np.maximum(centre, prints)[hit]
+
+
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: distinct fingerprints of ``nodes`` (_fp) which differ in 1 to 3 bits; enough of them to connect all such pairs."""
     if radius != 3:
         raise ValueError("variants of one and of two bits meet a radius of 3")
+    ship(nodes.sparkSession)
+    held = materialize(nodes.select("_fp"), "nodes")
+    tasks = max(held.sparkSession.sparkContext.defaultParallelism, held.count() * 561 // TASK_ROWS)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = b.column(0).to_numpy().view(np.uint64)
             for i in range(0, len(every), AT_ONCE):
-                part = every[i : i + AT_ONCE]
-                keys, at = variants(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[at].view(np.int64))], schema=_VARIANT)
+                yield dealt(every[i : i + AT_ONCE], tasks)
 
     def star(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by key, of one key the nearest and least first, which is the centre if it is one bit off or none."""
-        key = centre = None
+        """Of all variants of a task, which are TASK_ROWS or so, as keys are dealt by their hash."""
+        prints, numbers = [], []
         for b in batches:
-            if not b.num_rows:
-                continue
-            keys, prints = (b.column(i).to_numpy() for i in (0, 1))
-            first = np.concatenate([[key is None or keys[0] != key], keys[1:] != keys[:-1]])
-            of = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))  # -1: the batch before began it
-            centres = prints[np.maximum(of, 0)]
-            if centre is not None:
-                centres[of < 0] = centre
-            near = np.bitwise_count(keys.view(np.uint64) ^ centres.view(np.uint64)) <= 1
-            hit = near & (centres != prints)
-            key, centre = keys[-1], centres[-1]
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(centres, prints)[hit]), pa.array(np.maximum(centres, prints)[hit])], schema=_LINK)
-
-    ship(nodes.sparkSession)
-    held = materialize(nodes.select("_fp"), "nodes")
-    n = max(held.sparkSession.sparkContext.defaultParallelism, held.count() * 561 // ROWS_OF_TASK)
-    # few tasks may hold all fingerprints, which are a 561th of what comes of them
-    dealt = held.repartition(n).mapInArrow(emit, "_key long, _fp long").repartition(n, "_key")
-    rows = dealt.sortWithinPartitions("_key", F.bit_count(F.col("_key").bitwiseXOR(F.col("_fp"))) > 1, "_fp")
+            fp, n, variant = (b.column(i).flatten().to_numpy() for i in (1, 2, 3))
+            prints.append(np.repeat(fp, n).view(np.uint64))
+            numbers.append(variant)
+        if prints:
+            u, v = stars(np.concatenate(prints), np.concatenate(numbers))
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=_LINK)
+
+    rows = held.repartition(tasks).mapInArrow(emit, _DEALT_SQL).repartitionById(tasks, F.col("_task"))
     return rows.mapInArrow(star, "u long, v long").distinct()
 
 

@@ -248,11 +248,26 @@ def test_variants_meet_within_three_bits_only():
         b = a
         for bit in r.sample(range(64), r.randint(0, 6)):
             b ^= 1 << bit
-        keys, at = simhash.variants(np.array([a, b], np.uint64))
-        one, two = (set(keys[at == i].tolist()) for i in (0, 1))
+        at, number = simhash.variants(np.array([a, b], np.uint64))
+        masks = simhash.MASKS[number]
+        one, two = ({x ^ m for m in masks[at == i].tolist()} for i, x in enumerate((a, b)))
         near = any(min((k ^ a).bit_count(), (k ^ b).bit_count()) <= 1 for k in one & two)
         assert near == ((a ^ b).bit_count() <= 3)
+        u, v = simhash.stars(np.array([a, b], np.uint64)[at], number)
+        assert (len(u) > 0) == (a != b and near)
     assert len(simhash.variants(np.array([0xFFFFFFFF], np.uint64))[0]) == 1 + 64 + 32 * 31 // 2
+    top = np.array([(1 << 63) - 1, (1 << 63) - 2], np.uint64)
+    at, number = simhash.variants(top)
+    assert len(simhash.stars(top[at], number)[0]) > 0
+
+
+def test_dealt_variants_are_all_variants():
+    prints = np.array(sorted(random.Random(1).getrandbits(64) for _ in range(300)), np.uint64)
+    for tasks in (1, 7, 100_000):
+        batch = simhash.dealt(prints, tasks)
+        fp, n, variant = (batch.column(i).flatten().to_numpy() for i in (1, 2, 3))
+        at, number = simhash.variants(prints)
+        assert sorted(zip(np.repeat(fp, n).view(np.uint64).tolist(), variant.tolist(), strict=True)) == sorted(zip(prints[at].tolist(), number.tolist(), strict=True))
 
 
 def test_a_half_that_all_share_makes_no_pairs(spark):
