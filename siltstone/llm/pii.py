@@ -4,9 +4,11 @@ The base finds emails, IP addresses, payment cards and phones by pattern, in tim
 whatever it holds. The field reads what the patterns can't: addresses spelt with "at" and "dot", phones
 without a plus, two cards in a row, dotted cards, bracketed IP addresses. Its features are word shapes, those
 of the neighbours, and a few words; it is trained on the small labelled table of ``labelled_table`` (or
-another) by gradient ascent of the likelihood, and decoded by Viterbi over many windows side by side.
-A window is the text around each character or word that such data can't do without (a digit, ``@``,
-"dot"), 48 code points on either side, joined where they overlap; elsewhere nothing can be found. Added
+another) by gradient ascent of the likelihood, and decoded by Viterbi over many windows side by side, in numpy.
+Every span that is added holds one of the characters or words that such data can't do without (a digit, ``@``,
+"dot", a bracketed "at"), so decoding begins with the words around each of these, joined where they overlap, and a window goes on, twice as
+far each time, until its outer labels say that nothing goes on there. Features see the words beyond its
+ends, and its path is the best one with nothing outside: that of the whole text. Spans have no longest length. Added
 spans obey the checks of their kind and never overlap base spans, all of which stay.
 
 Nulls and empty texts hold nothing. A null id stays null; repeated rows give repeated results. Offsets are
@@ -19,21 +21,21 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.texts import blocks_of, by_block
-from siltstone.session import ship
+from siltstone.session import column, columns, ship, unused
 
 KINDS = ("email", "ip", "card", "phone")
-#: Code points of a window on either side of what opens it.
-AROUND = 48
+#: Code points of a window on either side of what opens it, at first; tokens beyond it that features see; outer tokens that must hold nothing.
+AROUND, SEEN, EDGE = 64, 3, 3
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -194,8 +196,8 @@ class Crf:
         emit[used] = w[0]
         return cls(emit, w[1].astype(np.float32), w[2].astype(np.float32))
 
-    def viterbi(self, features: list[np.ndarray]) -> list[np.ndarray]:
-        """Labels of each sequence; sequences of like length go side by side."""
+    def viterbi(self, features: list[np.ndarray], inner: list[tuple[bool, bool]] | None = None) -> list[np.ndarray]:
+        """Labels of each sequence; sequences of like length go side by side. inner: whether words that hold nothing go before, and after, it."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(features)
         order = sorted((i for i in range(len(features)) if len(features[i])), key=lambda i: len(features[i]))
         k, at = len(LABELS), 0
@@ -208,7 +210,9 @@ class Crf:
             score = np.zeros((len(part), longest, k), np.float32)
             for row, i in enumerate(part):
                 score[row, : size[row]] = self.emit[features[i]].sum(axis=1)
-            best, came = self.begin + score[:, 0], np.zeros((len(part), longest, k), np.int8)
+            before, after = np.array([inner[i] if inner else (False, False) for i in part], bool).T
+            score[np.arange(len(part)), size - 1] += after[:, None] * self.step[:, 0]
+            best, came = np.where(before[:, None], self.step[0], self.begin) + score[:, 0], np.zeros((len(part), longest, k), np.int8)
             for t in range(1, longest):
                 through = best[:, :, None] + self.step
                 came[:, t] = through.argmax(axis=1)
@@ -228,43 +232,74 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Where something may be found; borders stand between words."""
-    out: list[list[int]] = []
-    for m in _OPENS.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+def widened(text: str, a: int, b: int) -> tuple[int, int]:
+    """Ends moved out of words; no token goes over white space."""
+    while a > 0 and not text[a - 1].isspace():
+        a -= 1
+    while b < len(text) and not text[b].isspace():
+        b += 1
+    return a, b
+
+
+def joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
-            out.append([a, b])
-    for w in out:
-        while w[0] > 0 and not text[w[0] - 1].isspace() and text[w[0]].isalnum():
-            w[0] -= 1
-        while w[1] < len(text) and not text[w[1]].isspace() and text[w[1] - 1].isalnum():
-            w[1] += 1
-    joined: list[tuple[int, int]] = []
-    for a, b in out:
-        if joined and a <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-        else:
-            joined.append((a, b))
-    return joined
+            out.append((a, b))
+    return out
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """Where decoding begins: what is around all that opens something."""
+    near = joined([(max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)) for m in _OPENS.finditer(text)])
+    return joined([widened(text, a, b) for a, b in near])
 
 
 _NUMBERS = re.compile(r"[0-9]+")
+_AT, _DOT = re.compile(r"@|\bat\b", re.I), re.compile(r"\.|\bdot\b", re.I)
 
 
 def _holds(kind: str, s: str) -> bool:
-    """The checks of an added span."""
+    """The checks of an added span, of which each holds what opens a window."""
     numbers = _NUMBERS.findall(s)
     digits = "".join(numbers)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", s, re.I)) and bool(re.search(r"\.|\bdot\b", s, re.I)) and len(s) < 120
+        return bool(_AT.search(s)) and bool(_DOT.search(s)) and bool(_OPENS.search(s))
     if kind == "ip":
-        return len(numbers) == 4 and all(map(_byte, numbers)) and len(s) < 40
+        return len(numbers) == 4 and all(map(_byte, numbers))
     if kind == "card":
-        return 13 <= len(digits) <= 19 and luhn(digits) and len(s) < 60
-    return 9 <= len(digits) <= 15 and len(s) < 40
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
+def decoded(texts: list[str], crf: Crf, ranges: list[list[tuple[int, int]]] | None = None) -> list[list[tuple[list[tuple[int, int]], np.ndarray]]]:
+    """For each text the tokens and labels of its windows (or of ``ranges``, as they are); elsewhere are no labels."""
+    now = [windows(t) for t in texts] if ranges is None else ranges
+    done: dict[tuple[int, int, int], tuple[list[tuple[int, int]], np.ndarray]] = {}
+    dirty = [(i, a, b) for i, r in enumerate(now) for a, b in r]
+    while dirty:
+        jobs, feats, inner = [], [], []
+        for i, a, b in dirty:
+            tokens = [m.span() for m in _TOKEN.finditer(texts[i], a, b)]
+            lead, tail = (0 if a == 0 else SEEN), (0 if b == len(texts[i]) else SEEN)
+            every = _features(texts[i], tokens)
+            stop = max(len(tokens) - tail, lead)
+            jobs.append((i, a, b, tokens[lead:stop]))
+            feats.append(every[lead:stop])
+            inner.append((lead > 0, tail > 0))
+        wider: dict[int, list[tuple[int, int]]] = {}
+        for (i, a, b, tokens), labels, (before, after) in zip(jobs, crf.viterbi(feats, inner), inner, strict=True):
+            done[i, a, b] = tokens, labels
+            left, right = before and (not len(labels) or labels[:EDGE].any()), after and (not len(labels) or labels[-EDGE:].any())
+            if ranges is None and (left or right):
+                wider.setdefault(i, []).append((a - left * (b - a + AROUND), b + right * (b - a + AROUND)))
+        dirty = []
+        for i, more in wider.items():
+            now[i] = joined([*now[i], *(widened(texts[i], max(0, a), min(len(texts[i]), b)) for a, b in more)])
+            dirty += [(i, a, b) for a, b in now[i] if (i, a, b) not in done]
+    return [[done[i, a, b] for a, b in r] for i, r in enumerate(now)]
 
 
 def find(texts: list[str], crf: Crf | None) -> list[tuple[list[Span], list[Span]]]:
@@ -272,28 +307,26 @@ def find(texts: list[str], crf: Crf | None) -> list[tuple[list[Span], list[Span]
     base = [base_spans(t) for t in texts]
     if crf is None:
         return [(b, b) for b in base]
-    jobs, feats = [], []
-    for i, t in enumerate(texts):
-        for a, b in windows(t):
-            tokens = [m.span() for m in _TOKEN.finditer(t, a, b)]
-            jobs.append((i, tokens))
-            feats.append(_features(t, tokens))
-    added: list[list[Span]] = [[] for _ in texts]
-    for (i, tokens), labels in zip(jobs, crf.viterbi(feats), strict=True):
-        at = 0
-        while at < len(labels):
-            if labels[at] == 0:
-                at += 1
-                continue
-            kind, end = LABELS[labels[at]][2:], at + 1
+    added = [spans_of(t, b, parts) for t, b, parts in zip(texts, base, decoded(texts, crf), strict=True)]
+    order = lambda s: (KINDS.index(s[0]), s[1])
+    return [(b, sorted(b + x, key=order) if x else b) for b, x in zip(base, added, strict=True)]
+
+
+def spans_of(text: str, base: list[Span], parts: list[tuple[list[tuple[int, int]], np.ndarray]]) -> list[Span]:
+    """Spans that tokens and labels say, pass the checks and don't overlap base spans."""
+    out: list[Span] = []
+    for tokens, labels in parts:
+        for at in np.flatnonzero(labels).tolist():
+            kind = LABELS[labels[at]][2:]
+            if at and labels[at - 1] and LABELS[labels[at]][0] == "I" and LABELS[labels[at - 1]][2:] == kind:
+                continue  # goes on with what began before
+            end = at + 1
             while end < len(labels) and LABELS[labels[end]] == f"I-{kind}":
                 end += 1
             a, b = tokens[at][0], tokens[end - 1][1]
-            if _holds(kind, texts[i][a:b]) and not any(s < b and a < e for _, s, e in base[i]):
-                added[i].append((kind, a, b))
-            at = end
-    order = lambda s: (KINDS.index(s[0]), s[1])
-    return [(b, sorted(b + x, key=order) if x else b) for b, x in zip(base, added, strict=True)]
+            if _holds(kind, text[a:b]) and not any(s < b and a < e for _, s, e in base):
+                out.append((kind, a, b))
+    return out
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -306,8 +339,8 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def labelled_table(seed: int = 7, times: int = 7) -> list[tuple[str, list[Span]]]:
-    """Sentences with marked spans: templates filled ``times`` each, with numbers and words that a seed draws."""
+def labelled_table(seed: int = 7, times: int = 7, only: Callable[[int], bool] = lambda i: True) -> list[tuple[str, list[Span]]]:
+    """Sentences with marked spans: templates filled ``times`` each, with numbers and words that a seed draws. only: which templates, by number."""
     r = random.Random(seed)
     syllables = "an be cor dal en fir ga hol in jo ka lu men nor ou pra qui ré sta ton un vel wi é ü ón".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
@@ -348,8 +381,8 @@ def labelled_table(seed: int = 7, times: int = 7) -> list[tuple[str, list[Span]]
         "{w} at {w}", "at {w} {2} {w}", "{w} at the {w} dot {w}", "https://{w}.com/{3}/{4}", "{w}{2}", "No. {5}", "{2}/{2}/{4}", "{1} {1} {1} {1}", "{3}-{2}", "{w} ({4})", "{12}{8}", "@{w}", "{w}@{w}", "{2}% {w}", "{10}",
     ]
     out = []
-    for template in inner:
-        for k in range(times):
+    for i, template in enumerate(inner):
+        for k in range(times if only(i) else 0):
             left = " ".join(word() for _ in range(r.randint(0, 5)))
             right = " ".join(word() for _ in range(r.randint(0, 5)))
             body = re.sub(r"\{(\w+)\}", fill, template)
@@ -381,7 +414,7 @@ def find_pii(docs: DataFrame, crf: Crf | None = None, id_col: str = "doc_id", te
         }
 
     run = by_block(rows, _SCHEMA)
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def mask_pii(docs: DataFrame, crf: Crf | None = None, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
@@ -398,7 +431,13 @@ def mask_pii(docs: DataFrame, crf: Crf | None = None, text_col: str = "text", si
             out += [None if t is None else redact(t, s) for t, (_, s) in zip(part, find([t or "" for t in part], sent.value), strict=True)]
         return pd.Series(out, dtype=object)
 
-    whole = docs.withColumn(text_col, masked(docs[text_col]))
-    if size_col in docs.columns:
-        whole = whole.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
-    return whole.select(*docs.columns)
+    clean = unused(docs, "_masked")
+    whole = docs.select(*columns(docs), masked(column(docs, text_col)).alias(clean))
+
+    def now(name: str) -> Column:
+        if name == text_col:
+            return F.col(clean).alias(name)
+        own = column(whole, name)
+        return F.length(clean).cast(whole.schema[name].dataType).alias(name) if name == size_col else own
+
+    return whole.select(*map(now, docs.columns))

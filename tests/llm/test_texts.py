@@ -75,6 +75,58 @@ def test_field_adds_what_patterns_miss():
     assert wrong < 0.05 * hit, wrong
 
 
+def measured_on(crf, table):
+    hit = miss = wrong = 0
+    for (_, marked), (base, every) in zip(table, pii.find([t for t, _ in table], crf), strict=True):
+        hit += len(set(marked) & set(every))
+        miss += len(set(marked) - set(every))
+        wrong += len([s for s in every if s not in base and s not in marked])
+    return hit, miss, wrong
+
+
+def test_field_reads_templates_it_has_not_seen():
+    """Of each fifth of the templates by a field trained on the others: forms that it was never shown."""
+    total = np.zeros(3, int)
+    for fold in range(5):
+        crf = pii.Crf.train(pii.labelled_table(only=lambda i, fold=fold: i % 5 != fold))
+        total += measured_on(crf, pii.labelled_table(seed=77, times=10, only=lambda i, fold=fold: i % 5 == fold))
+    hit, miss, wrong = total
+    assert hit / (hit + miss) > 0.6 and hit / (hit + wrong) > 0.85, total
+
+
+def test_field_reads_marked_documents(spark, sf):
+    """Spelt addresses, phones and cards put between the words of documents."""
+    r = random.Random(21)
+    crf = pii.Crf.train(pii.labelled_table())
+    texts = [x["text"] for x in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("length(text) between 200 and 4000").limit(150).collect()]
+    snippets = [(t[a:b], k) for t, marked in pii.labelled_table(seed=4242, times=3) for k, a, b in marked]
+    table = []
+    for t in texts:
+        words = t.split(" ")
+        k = r.randint(5, len(words) - 5)
+        snippet, kind = r.choice(snippets)
+        before = " ".join(words[:k]) + " "
+        table.append((before + snippet + " " + " ".join(words[k:]), [(kind, len(before), len(before) + len(snippet))]))
+    hit, miss, _ = measured_on(crf, table)
+    assert hit / (hit + miss) >= 0.9, (hit, miss)
+
+
+def test_windows_find_what_whole_texts_do():
+    crf = pii.Crf.train(pii.labelled_table(times=4))
+    r = random.Random(31)
+    filler = "the house on that hill was sold at noon. Version 3.2 of it, they said, is no better".split()
+    texts = [t for t, _ in pii.labelled_table(seed=5, times=3)]
+    texts = [" ".join(r.choice(filler) for _ in range(r.randint(0, 80))) + " " + t + " " + " ".join(r.choice(filler) for _ in range(r.randint(0, 80))) for t in texts]
+    for n in (20, 60, 110, 400):  # no length is too long
+        local = ".".join(["abcde"] * (n // 6))
+        texts += [f"please write to {local} at mailhost dot com for more of it", f"we were told {local} (at) mailhost (dot) org is theirs", "1 " * n + "x", "1.2." * n, "@" * n, "(at) " * n]
+    for t, windowed, whole in zip(texts, pii.decoded(texts, crf), pii.decoded(texts, crf, [[(0, len(t))] for t in texts]), strict=True):
+        base = pii.base_spans(t)
+        assert pii.spans_of(t, base, windowed) == pii.spans_of(t, base, whole), t
+    long = f"please write to {'.'.join(['abcde'] * 20)} at mailhost dot com for more of it"
+    assert ("email", 16, len(long) - len(" for more of it")) in pii.find([long], pii.Crf.train(pii.labelled_table()))[0][1]
+
+
 def test_viterbi_finds_the_best_path():
     import itertools
 
