@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.byte_bpe import byte_bpe
 from siltstone.llm.texts import blocks_of
-from siltstone.session import materialize, ship
+from siltstone.session import column, materialize, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -286,7 +286,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, id_col: str, tex
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, _PIECES_SQL)
+    return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, _PIECES_SQL)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, gap: float = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

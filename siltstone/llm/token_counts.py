@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm.byte_bpe import SPLIT, byte_alphabet
 from siltstone.llm.texts import PLAIN, by_block
-from siltstone.session import ship
+from siltstone.session import column, ship
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -125,4 +125,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, limit: int = LIM
         return {"doc_id": ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
     run = by_block(rows, SCHEMA)
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

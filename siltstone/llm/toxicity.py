@@ -14,7 +14,10 @@ into one weight for each hashed subsequence: scoring a word reads ten weights fo
 A document's score is a logistic function of its words' highest margins.
 
 Training reads at most ``SAMPLE`` labelled documents of each class, chosen by the hash of their ids, of
-``SAMPLE_CHARS`` code points together. Every text is scored whole.
+``SAMPLE_CHARS`` code points together; of several texts with one id, the least. Of their words it takes ``LANDMARKS`` as
+landmarks (half of them the commonest witnesses), ``NEGATIVES`` as negatives at first and half as many that come near in each of
+``ROUNDS`` rounds, and the ``BENT`` commonest witnesses with characters inserted. The logistic function is learnt from a
+fourth of the sample that the machine hasn't seen, or with under 100 distinct documents of a class from all of it. Every text is scored whole.
 
 Nulls and empty texts have no words: the score of a document in which nothing is found. Without labels of
 both classes all scores are 0. A null id is not held out. Repeated rows get repeated scores; of repeated
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.texts import blocks_of
-from siltstone.session import ship
+from siltstone.session import column, ship
 
 SAMPLE, SAMPLE_CHARS = 2500, 8_000_000
 LANDMARKS, NEGATIVES, ROUNDS = 320, 10_000, 3
@@ -147,6 +150,17 @@ def _kernel(words: list[str], codes: np.ndarray, landmarks: np.ndarray) -> np.nd
     return out
 
 
+def nystrom(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """codes; landmarks as codes by landmarks; landmarks by features, such that kernel values times these have the kernel as their dot product."""
+    row, code, weight = subsequences(marks)
+    codes = np.unique(code)
+    phi = np.zeros((len(codes), len(marks)), np.float32)
+    np.add.at(phi, (np.searchsorted(codes, code), row), weight)
+    values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
+    good = values > 1e-4 * values[-1]
+    return codes, phi, vectors[:, good] / np.sqrt(values[good])
+
+
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Squared hinge loss with an L2 penalty, by Newton steps; the last weight is the bias."""
     x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
@@ -258,13 +272,7 @@ def _machine(bags: list[list[str]], calm: list[list[str]]) -> Model:
     for _ in range(ROUNDS):
         marks = sorted(witnesses, key=lambda w: (-pos[w], w))[: LANDMARKS // 2]
         marks += [w for w in negatives if len(w) > 3][: LANDMARKS - len(marks)]
-        row, code, weight = subsequences(marks)
-        codes = np.unique(code)
-        phi = np.zeros((len(codes), len(marks)), np.float32)
-        np.add.at(phi, (np.searchsorted(codes, code), row), weight)
-        values, vectors = np.linalg.eigh((phi.T @ phi).astype(np.float64))
-        good = values > 1e-4 * values[-1]
-        root = vectors[:, good] / np.sqrt(values[good])  # landmarks by features
+        codes, phi, root = nystrom(marks)
         ones = sorted(witnesses)
         bent = [v for w in sorted(witnesses, key=lambda w: (-pos[w], w))[:BENT] for v in _bent(w) if v not in neg]
         z = _kernel(ones + bent + negatives, codes, phi) @ root
@@ -301,12 +309,14 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fits on at most ``sample`` labelled rows of each class which are not held out."""
     ship(docs.sparkSession)
-    rows = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
+    rows = labels.select(column(labels, id_col).cast("long").alias("_id"), column(labels, label_col).cast("int").alias("_toxic")).where("_id is not null and _toxic is not null")
     known = rows.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     drawn = [known.where("_toxic > 0"), known.where("_toxic <= 0")]
     picked = drawn[0].orderBy(F.xxhash64("_id"), "_id").limit(sample).unionByName(drawn[1].orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    texts = docs.select(docs[id_col].cast("long").alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
-    size = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_toxic").agg(F.max(F.length("_text")).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()  # 2 * sample rows
+    texts = docs.select(column(docs, id_col).cast("long").alias("_id"), F.coalesce(column(docs, text_col), F.lit("")).alias("_text"))
+    # of several texts with one id the least; a text that no label is drawn for is not shuffled
+    drawn_texts = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_toxic").agg(F.min("_text").alias("_text"))
+    size = drawn_texts.select("_id", "_toxic", F.length("_text").alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()  # 2 * sample rows
     total, kept = 0, []
     for r in size:
         if total + r["n"] <= chars:
@@ -321,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
             words = [sorted(set(words_of(t))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["_id", "_toxic", "_words"])
 
-    bags = texts.join(chosen, "_id").select("_id", "_toxic", "_text").dropDuplicates(["_id"]).mapInArrow(distinct_words, "_id long, _toxic int, _words array<string>").toArrow().sort_by("_id")
+    bags = drawn_texts.drop("_toxic").join(chosen, "_id").select("_id", "_toxic", "_text").mapInArrow(distinct_words, "_id long, _toxic int, _words array<string>").toArrow().sort_by("_id")
     split: tuple[list, list] = ([], [])
     for toxic, words in zip(bags["_toxic"].to_pylist(), bags["_words"].to_pylist(), strict=True):
         split[toxic <= 0].append(words)
@@ -342,7 +352,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 s = scorer.scores(texts) if scorer else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], schema=schema)
 
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("_text"))
+    rows = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("_text"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "_text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -364,4 +374,4 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") ->
             yield pd.Series(out)
 
     fine.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(fine(docs[text_col]))
+    return docs.where(fine(column(docs, text_col)))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm.byte_bpe import byte_alphabet
 from siltstone.llm.texts import PLAIN, by_block
-from siltstone.session import ship
+from siltstone.session import column, ship
 
 TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 1 << 18
@@ -260,4 +260,4 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
         }
 
     run = by_block(rows, SCHEMA)
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(column(docs, id_col).cast("long"), column(docs, text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

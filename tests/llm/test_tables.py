@@ -159,6 +159,38 @@ def test_kernel_tolerates_gaps():
     assert "idiot" in toxicity.words_of("you i d i o t") and "idiot" in toxicity.words_of("i-d-i-o-t!")
 
 
+def test_landmarks_give_the_kernel_machine():
+    """With all words as landmarks the machine's margins are those of the exact kernel machine."""
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("abcdeklmnorst") for _ in range(r.randint(4, 9))) for _ in range(70)})
+    y = np.array([1.0 if "a" in w[:3] else -1.0 for w in words])
+    row, code, weight = toxicity.subsequences(words)
+    dense = np.zeros((len(words), 1 << toxicity.HASHED), np.float32)
+    np.add.at(dense, (row, code), weight)
+    gram = (dense @ dense.T).astype(float)
+    codes, phi, root = toxicity.nystrom(words)
+    z = toxicity._kernel(words, codes, phi) @ root
+    assert np.abs(z @ z.T - gram).max() < 1e-3
+    w = toxicity._svm(z, y, np.full(len(words), 20.0))
+    # the exact one: squared hinge in the span of all kernel rows, by plain gradient steps on a, with margins gram @ a + b
+    a, b = np.zeros(len(words)), 0.0
+    for _ in range(200):
+        on = y * (gram @ a + b) < 1
+        k = np.block([[np.eye(on.sum()) / 20.0 + gram[np.ix_(on, on)], np.ones((on.sum(), 1))], [np.ones((1, on.sum())), np.zeros((1, 1))]])
+        s = np.linalg.solve(k, np.append(y[on], 0.0))
+        a, b = np.zeros(len(words)), s[-1]
+        a[on] = s[:-1]
+    exact, own = gram @ a + b, np.hstack([z, np.ones((len(z), 1))]) @ w
+    assert np.abs(exact - own).max() < 0.05
+
+
+def test_repeated_ids_give_one_model(spark):
+    docs, labels = labelled(spark, 120)
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), "text"))).repartition(7)
+    one, two = (toxicity.train(d, labels) for d in (docs, twice))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.logistic, two.logistic)
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels)
