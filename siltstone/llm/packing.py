@@ -49,7 +49,7 @@ GAP = 0.01
 #: Classes of lengths with a weight each, rounds between two plans, and after how many plans it ends in which neither bound nor plan moves by that share.
 CLASSES, ROUNDS, STILL, MOVES = 16, 50, 4, 0.0005
 #: Sequences filled less than this are opened again, one threshold after another.
-FILLS = (0.0, 0.5, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 1.0)
+FILLS = (0.0, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 1.0)
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("_task", pa.int64()), ("_rank", pa.int64())])
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, _task long, _rank long"
 RESULT = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -155,24 +155,31 @@ class Prices:
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole configurations for what is left of a histogram: the longest piece opens a sequence, the longest that fits goes on, repeated while counts last."""
-    import bisect
-
+    """Whole configurations for what is left of a histogram: the longest piece opens a sequence, whose room is filled as far as the
+    pieces there are can fill it, the longest of them first; repeated while counts last."""
     left = {k: n for k, n in left.items() if n}
-    order = sorted(left)
+    order = sorted(left, reverse=True)
     out = []
     while order:
-        room, chosen = capacity, {}
-        while (i := bisect.bisect_right(order, room) - 1) >= 0:
-            k = order[i]
-            while i >= 0 and chosen.get(order[i], 0) >= left[order[i]]:
-                i -= 1
-            if i < 0:
+        first = order[0]
+        room = capacity - first
+        chosen = {first: 1}
+        sums, wanted, steps = 1, 1 << room, []  # bit s: some of the pieces so far have the sum s
+        within = (wanted << 1) - 1
+        for k in order:
+            if sums & wanted:
                 break
-            k = order[i]
-            n = min(room // k, left[k] - chosen.get(k, 0))
-            chosen[k] = chosen.get(k, 0) + n
-            room -= n * k
+            for _ in range(min(room // k, left[k] - (k == first))):
+                new = (sums | sums << k) & within
+                if new == sums:
+                    break
+                steps.append((k, sums))
+                sums = new
+        rest = sums.bit_length() - 1
+        for k, before in reversed(steps):
+            if not before >> rest & 1:
+                chosen[k] = chosen.get(k, 0) + 1
+                rest -= k
         times = min(left[k] // n for k, n in chosen.items())
         for k, n in chosen.items():
             left[k] -= n * times

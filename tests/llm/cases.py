@@ -2,10 +2,11 @@
 
 LONG = "one of the very long lines that go on and on without much sense 12 +49 30 1234567 a.b@c.example.org\n" * 3000
 SCHEMA = (
-    "doc_id long, text string, lang string, source string, n_chars long, _id string, _fp string, _key string, _text int, _host string, _name boolean, score string, "
-    "spans double, kept string, _task string, _rank string, length string, sequence_id string, _bucket string, _tie string, fingerprint string"
+    "doc_id long, text string, lang string, source string, n_chars long, _id string, _fp string, _KEY string, _text int, _host string, _NAME boolean, score string, "
+    "spans double, kept string, _task string, _rank string, length string, sequence_id string, _bucket string, _TIE string, fingerprint string, "
+    "`a.b` string, _KEY0 string, _NAME0 int, _TIE0 string, _MARKED string, _Failed string, _MASKED string, `c``d` string, _ROW string, _any string, Verdict string"
 )
-_EXTRA = ("x", "y", "z", 1, "h", True, "s", 0.5, "k", "t", "r", "l", "q", "b", "i", "f")
+_EXTRA = ("x", "y", "z", 1, "h", True, "s", 0.5, "k", "t", "r", "l", "q", "b", "i", "f", "ab", "k0", 7, "t0", "m", "fa", "ma", "cd", "ro", "an", "ve")
 WORDS = "the quick brown fox jumps over a lazy dog while many other animals watch it from far away and think about what to do next in this place of peace".split()
 PLAIN = " ".join(WORDS + [w + "s" for w in WORDS])
 TEXTS = [
