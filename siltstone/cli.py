@@ -104,9 +104,9 @@ def _init(args, root: str, config: settings.Config) -> int:
 
 def _search(args, root: str, config: settings.Config) -> int:
     if args.keyword and args.semantic:
-        raise Exit(3, "--keyword and --semantic cannot both be set")
+        raise Exit(3, "choose one of --keyword and --semantic")
     if args.json and args.compact:
-        raise Exit(3, "--json and --compact cannot both be set")
+        raise Exit(3, "choose one of --json and --compact")
     mode = searching.resolve_mode("keyword" if args.keyword else "semantic" if args.semantic else "", config.search.mode)
     store, branch = open_store(root, config), repository.current_branch(root)
     held = store.state(head_key(root, branch))
@@ -128,7 +128,7 @@ def _search(args, root: str, config: settings.Config) -> int:
     query = " ".join(args.query)
     got = searching.Searcher(store, embedder, config.search).search(root, branch, query, mode, args.top_k, not args.no_related, args.related)
     if not got.results:
-        raise Exit(1, "no results found")
+        raise Exit(1, "nothing matches")
     print(searching.as_json(query, got) if args.json else searching.compact(got) if args.compact else searching.human(got), end="\n" if args.json else "")
     return 0
 

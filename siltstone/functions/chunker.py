@@ -201,8 +201,8 @@ def _python_units(text: str) -> list[Unit]:
                     returns = f" {ast.unparse(child.returns)}" if child.returns else ""
                     signature, inner = f"{child.name}({ast.unparse(child.args)}){returns}", (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.Match, ast.AsyncFor, ast.AsyncWith)
                 cuts = []
-                for stmt in child.body:
-                    if isinstance(stmt, inner):
+                for stmt in _outermost(child, inner):
+                    if starts[stmt.lineno - 1] > start:
                         top = min([stmt.lineno, *(d.lineno for d in getattr(stmt, "decorator_list", []))])
                         cuts += [starts[top - 1], starts[stmt.end_lineno] if stmt.end_lineno < len(starts) else len(text)]
                 out.append(Unit("class" if isinstance(child, ast.ClassDef) else "function", squeeze(signature), parent, start, end, cuts))
@@ -213,6 +213,14 @@ def _python_units(text: str) -> list[Unit]:
     return out
 
 
+def _outermost(node: ast.AST, kinds: tuple[type, ...]) -> list[ast.AST]:
+    """Nodes of these kinds below ``node`` that are in no other such node, in order."""
+    out: list[ast.AST] = []
+    for child in ast.iter_child_nodes(node):
+        out += [child] if isinstance(child, kinds) else _outermost(child, kinds)
+    return out
+
+
 _PY = re.compile(r"^([ \t]*)(?:async[ \t]+)?(def|class)[ \t]+(\w+)", re.M)
 
 
@@ -354,8 +362,9 @@ def _brace_units(text: str, language: str) -> list[Unit]:
         cuts = []
         body = plain.find("{", start)
         if 0 <= body < end:
+            close = body
             for c in (_MEMBER if kind in CLASSES else _FLOW).finditer(plain, body + 1, end):
-                if plain.count("{", body + 1, c.start()) == plain.count("}", body + 1, c.start()):
+                if c.start() >= close:  # of those inside each other the outermost, however deep it stands
                     opened = plain.find("{", c.start(), end)
                     close = _closing(plain, opened, "{}") if opened >= 0 else c.end()
                     nl = plain.find("\n", close)

@@ -57,11 +57,11 @@ def in_order(items: list[dict], count: int, dimensions: int) -> list[list[float]
     """Vectors by their index; every index once, every vector of the right length."""
     out: list[list[float] | None] = [None] * count
     if len(items) != count:
-        raise EmbeddingError(f"asked for {count} embeddings, got {len(items)}")
+        raise EmbeddingError(f"{len(items)} vectors came back for {count} texts")
     for item in items:
         i, v = item["index"], item["embedding"]
         if not 0 <= i < count:
-            raise EmbeddingError(f"index {i} is out of range")
+            raise EmbeddingError(f"there is no text {i} to give a vector to")
         if out[i] is not None:
             raise EmbeddingError(f"index {i} came twice")
         if len(v) != dimensions:

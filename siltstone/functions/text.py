@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,16 +59,25 @@ def embed_text(annotation: Column, content: Column) -> Column:
     return F.concat(annotation, F.lit("\n\n"), content)
 
 
-#: Letters that lose their marks in search terms.
-_MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-_PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+def _marked_letters() -> dict[str, str]:
+    """Letters that canonical decomposition makes a plain Latin letter and marks, and that letter."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
+            out[c] = base.lower()
+    return out
+
+
+#: Letters that lose their marks in search terms; marks that stand alone after a letter go too.
+_LETTERS = _marked_letters()
 
 
 _BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def _unmarked(text: Column) -> Column:
-    return F.translate(F.lower(text), _MARKED, _PLAIN)
+    return F.regexp_replace(F.translate(F.lower(text), "".join(_LETTERS), "".join(_LETTERS.values())), r"\p{M}+", "")
 
 
 def search_terms(text: Column) -> Column:

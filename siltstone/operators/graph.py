@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import materialize
 
 DAMPING, ITERATIONS = 0.85, 20
-#: Graphs up to so many edges are ranked on the driver, whose arrays they fit in; larger ones by the cluster.
-DRIVER_EDGES = 1_000_000
+#: Rounds of PageRank between two written results.
+AT_ONCE = 5
 #: The rank of a neighbour that has none.
 LEAST_RANK = 0.001
 SCOPE = ("repo_root", "branch")
@@ -36,43 +37,47 @@ def neighbours(edges: DataFrame, hashes: DataFrame) -> DataFrame:
     return both.join(main, both["content_hash"] == main["_main"], "left_anti")
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, driver_edges: int = DRIVER_EDGES) -> DataFrame:
-    """node, rank: power iterations from equal ranks; what nodes without an edge out hold is spread evenly. Parallel edges count each."""
-    spark = edges.sparkSession
-    held = materialize(edges.select(F.col("source_hash").alias("s"), F.col("target_hash").alias("t")), "edges")
-    n_edges = held.count()
-    if not n_edges:
-        return spark.createDataFrame([], "node string, rank double")
-    return _small(spark, held, damping, iterations) if n_edges <= driver_edges else _large(held, damping, iterations)
-
-
-def _small(spark, held: DataFrame, damping: float, iterations: int) -> DataFrame:
-    got = held.toArrow()
-    names, at = np.unique(np.concatenate([got["s"].to_numpy(zero_copy_only=False), got["t"].to_numpy(zero_copy_only=False)]).astype(str), return_inverse=True)
-    s, t, n = at[: len(got)], at[len(got) :], len(names)
-    out = np.bincount(s, minlength=n)
-    rank = np.full(n, 1.0 / n)
-    for _ in range(iterations):
-        given = np.bincount(t, rank[s] / out[s], n)
-        rank = (1 - damping) / n + damping * (given + rank[out == 0].sum() / n)
-    return spark.createDataFrame(list(zip(names.tolist(), rank.tolist(), strict=True)), "node string, rank double")
-
+def pagerank(edges: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+    """node, rank: power iterations from equal ranks; what nodes without an edge out hold is spread evenly. Parallel edges count each.
 
-def _large(held: DataFrame, damping: float, iterations: int) -> DataFrame:
-    """A join and a sum for each iteration, whose result is written to the shared folder; the rank that is spread evenly rides along."""
-    weights = held.groupBy("s", "t").agg(F.count("*").alias("m"))
-    degree = held.groupBy("s").agg(F.count("*").alias("out"))
-    links = materialize(weights.join(degree, "s").select("s", "t", (F.col("m") / F.col("out")).alias("w")), "links")
-    nodes = held.select(F.col("s").alias("node")).unionByName(held.select(F.col("t").alias("node"))).distinct()
-    nodes = materialize(nodes.join(degree.select(F.col("s").alias("node"), F.lit(False).alias("ends")), "node", "left").select("node", F.coalesce("ends", F.lit(True)).alias("ends")), "nodes")
+    A round is linear in the ranks, and what is spread evenly is the same for all nodes. So after any number of rounds the ranks are a sum of
+    u0, u1, ..., where u0 is 1/n everywhere and each next one is what the links make of the one before; only the factors depend on
+    what dangling nodes held, and these follow from the u's sums over such nodes. Each round is thus one join with the links and one shuffle of
+    its result, without a number that the driver must know first. Nodes are numbered, links are dealt out by source
+    once and stay there (made again from written ones where an executor is lost), and results are written every ``AT_ONCE`` rounds.
+    """
+    spark = edges.sparkSession
+    held = materialize(edges.groupBy(F.col("source_hash").alias("s"), F.col("target_hash").alias("t")).agg(F.count("*").alias("m")), "edges")
+    nodes = materialize(held.select(F.col("s").alias("node")).unionByName(held.select(F.col("t").alias("node"))).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
     n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / n))
+    if not n:
+        return spark.createDataFrame([], "node string, rank double")
+    source, target = nodes.select(F.col("node").alias("s"), F.col("id").alias("a")), nodes.select(F.col("node").alias("t"), F.col("id").alias("b"))
+    numbered = materialize(held.join(source, "s").join(target, "t").select("a", "b", "m"), "numbered")
+    degree = materialize(numbered.groupBy("a").agg(F.sum("m").alias("out")), "degree")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = numbered.join(degree, "a").select("a", "b", (F.lit(damping) * F.col("m") / F.col("out")).alias("w")).repartition(parts, "a").sortWithinPartitions("a").persist()
+    terms: list[DataFrame] = []
+    last = nodes.select("id", F.lit(1.0 / n).alias("u"))
+    for first in range(1, iterations + 1, AT_ONCE):
+        block = []
+        for j in range(first, min(first + AT_ONCE, iterations + 1)):
+            last = links.join(last.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("w") * F.col("u")).alias("u"))
+            block.append(last.withColumn("j", F.lit(j)))
+        terms.append(materialize(reduce(DataFrame.unionByName, block), "terms"))
+        last = terms[-1].where(F.col("j") == j).select("id", "u")
+    links.unpersist()
+    every = reduce(DataFrame.unionByName, terms) if terms else nodes.select("id", F.lit(0.0).alias("u"), F.lit(0).alias("j")).limit(0)
+    ends = nodes.join(degree.withColumnRenamed("a", "id"), "id", "left_anti").select("id")
+    loose = {r["j"]: r["x"] for r in every.join(ends, "id").groupBy("j").agg(F.sum("u").alias("x")).collect()}  # a row for each round
+    loose[0] = ends.count() / n
+    factors = [1.0]  # of u0, u1, ... after each round
     for _ in range(iterations):
-        loose = rank.where("ends").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]  # one row
-        given = links.join(rank.select(F.col("node").alias("s"), "rank"), "s").groupBy(F.col("t").alias("node")).agg(F.sum(F.col("w") * F.col("rank")).alias("given"))
-        new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))
-        rank = materialize(nodes.join(given, "node", "left").select("node", "ends", new.alias("rank")), "rank")
-    return rank.select("node", "rank")
+        spread = (1 - damping) + damping * sum(f * loose.get(j, 0.0) for j, f in enumerate(factors))
+        factors = [spread, *factors]
+    factor = F.element_at(F.array(*map(F.lit, factors)), F.col("j") + 1)
+    summed = every.groupBy("id").agg(F.sum(factor * F.col("u")).alias("x"))
+    return nodes.join(summed, "id", "left").select("node", (F.lit(factors[0] / n) + F.coalesce("x", F.lit(0.0))).alias("rank"))
 
 
 def related(edges: DataFrame, main: DataFrame, ranks: DataFrame | None = None) -> DataFrame:

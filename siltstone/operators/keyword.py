@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import phrases, search_terms, spaced_terms
-from siltstone.session import materialize, ship
+from siltstone.session import column, materialize, ship, unused
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Places of a column begin at a multiple of this, so that no phrase reaches into the next.
@@ -68,17 +68,16 @@ def scan(rows: DataFrame, query: str, columns: tuple[str, ...] = ("text",), into
     keep = tuple(rows.columns) if keep is None else keep
     asked = query_phrases(rows.sparkSession, query)
     if not asked:
-        return rows.select(*keep).withColumn(into, F.lit(0.0)).limit(0)
-    taken = set(rows.columns)
-    own = lambda kind: next(n for i in range(99) if (n := f"_{kind}_{i}") not in taken)
-    terms = {own(f"terms{i}"): spaced_terms(F.coalesce(F.col(c).cast("string"), F.lit(""))) for i, c in enumerate(columns)}
+        return rows.select(*(column(rows, c) for c in keep), F.lit(0.0).alias(into)).limit(0)
+    own = lambda kind: unused(rows, f"_{kind}_")
+    terms = {own(f"terms{i}"): spaced_terms(F.coalesce(column(rows, c).cast("string"), F.lit(""))) for i, c in enumerate(columns)}
     names = [own("size"), *(own(f"n{i}") for i in range(len(asked)))]
     total = lambda f: reduce(lambda x, y: x + y, (f(F.col(t)) for t in terms))
-    split = rows.withColumns(terms)
+    split = rows.select(*(column(rows, c) for c in rows.columns), *(t.alias(n) for n, t in terms.items()))
     counted = split.withColumns({names[0]: total(lambda t: F.regexp_count(t, F.lit("[^ ]+"))).cast("long")} | {n: total(lambda t, p=p: occurrences(t, p)) for n, p in zip(names[1:], asked, strict=True)})
     seen = Observation()
     said = [F.count(F.lit(1)).alias("rows"), F.sum(names[0]).alias("size"), *(F.sum((F.col(n) > 0).cast("long")).alias(f"h{i}") for i, n in enumerate(names[1:]))]
-    hits = counted.select(*keep, *names).observe(seen, *said).where(reduce(lambda x, y: x & y, (F.col(n) > 0 for n in names[1:])))
+    hits = counted.select(*(column(counted, c) for c in keep), *names).observe(seen, *said).where(reduce(lambda x, y: x & y, (F.col(n) > 0 for n in names[1:])))
     held, got = materialize(hits, "hits"), seen.get
     corpus = Corpus(got["rows"], (got["size"] or 0) / max(got["rows"], 1), [got[f"h{i}"] or 0 for i in range(len(asked))])
     return held.withColumn(into, _score(F.col(names[0]), [F.col(n) for n in names[1:]], corpus)).drop(*names)

@@ -10,6 +10,7 @@ A vector of length zero, or of another length than the query's, is at distance 1
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,19 +96,20 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
 
         return rows.mapInArrow(best, "query_id long, id long, distance double")
 
-    found = None
-    ids: list[int] = []
-    held: list[list[float]] = []
-    for r in asked.toLocalIterator():
-        ids.append(r[0])
-        held.append(r[1])
-        if len(ids) == block:
-            part = search(np.array(ids, np.int64), np.array(held))
-            found, ids, held = part if found is None else found.unionByName(part), [], []
-    if ids:
-        part = search(np.array(ids, np.int64), np.array(held))
-        found = part if found is None else found.unionByName(part)
-    if found is None or k <= 0:
+    found: list[DataFrame] = []
+    held: dict[int, list[tuple[int, list[float]]]] = {}  # by length: less than a block of each
+
+    def flush(n: int) -> None:
+        ids, queries_of = zip(*held.pop(n), strict=True)
+        found.append(search(np.array(ids, np.int64), np.array(queries_of).reshape(len(ids), n)))
+
+    for r in asked.toLocalIterator() if k > 0 else ():
+        held.setdefault(len(r[1]), []).append((r[0], [np.nan if x is None else x for x in r[1]]))
+        if len(held[len(r[1])]) == block:
+            flush(len(r[1]))
+    for n in sorted(held):
+        flush(n)
+    if not found:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank long")
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)

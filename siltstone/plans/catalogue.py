@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import chunking, fusion, graph, keyword, vector
 from siltstone.plans import indexing, searching
-from siltstone.session import materialize, table
+from siltstone.session import materialize, scratch, table
+from siltstone.store import TEXT_ONLY, IndexStore, StoreError, head_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +43,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NORMAL = r"regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '\n+\z', '')"
 _HASH = f"sha256({_NORMAL})"
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '')"
-_TERMS = f"list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), '{T._MARKED}', '{T._PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_TERMS = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 # Hashes, tokens, names ------------------------------------------------------------------------------------
@@ -190,7 +191,7 @@ def keyword_index(spark, sf_dir):
     """The same from an index of postings: only the query's terms are read."""
     docs = _docs(spark, sf_dir).select("doc_id", "text")
     index = materialize(keyword.postings(docs, "doc_id", ("text",)), "postings")
-    sizes = index.select("id", "size").distinct().agg(F.sum("size")).first()[0]
+    sizes = index.agg(F.sum(F.size("places"))).first()[0]  # a term's places are all there are of it
     n, total = docs.count(), sizes or 0
     return keyword.search_postings(index, n, total / max(n, 1), TWO).select(F.col("id").cast("long").alias("doc_id"), F.round("score", 9).alias("score"))
 
@@ -238,6 +239,106 @@ def hybrid_rrf(spark, sf_dir):
     return got.select("doc_id", "content_hash", F.round("score", 12).alias("score"), "rank")
 
 
+# The store ------------------------------------------------------------------------------------------------
+
+ROOT, MODEL = "/documents", "given"
+
+
+def _store(spark, dimensions: int = 1) -> IndexStore:
+    """A new one, in the shared folder."""
+    return IndexStore(spark, scratch(spark, "store"), dimensions)
+
+
+def _chunks(rows: DataFrame, branch, file_path, chunk_index, content, *more) -> DataFrame:
+    """Chunks with the columns that a store takes."""
+    return rows.select(
+        F.lit(ROOT).alias("repo_root"), branch.alias("branch"), file_path.cast("string").alias("file_path"), chunk_index.cast("int").alias("chunk_index"), content.cast("string").alias("content"),
+        F.lit("text").alias("language"), F.lit(1).alias("start_line"), F.size(F.split(content.cast("string"), "\n", -1)).alias("end_line"), F.lit("").alias("annotation"), F.lit("").alias("signature"), *more,
+    )
+
+
+def _doc_chunks(spark, sf_dir, *more, one_branch: bool = False) -> DataFrame:
+    """A document is a chunk of its source's file in its language's branch."""
+    docs = _docs(spark, sf_dir)
+    branch = F.lit("main") if one_branch else F.coalesce("lang", F.lit(""))
+    return _chunks(docs, branch, F.coalesce("source", F.lit("")), F.col("doc_id"), F.col("text"), *more)
+
+
+def _with_vectors(spark, sf_dir) -> DataFrame:
+    """Documents that share an id with a vector, in order of their ids, as chunks with that vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = _docs(spark, sf_dir).join(vectors, "doc_id").orderBy("doc_id")
+    return _chunks(docs, F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), F.col("doc_id"), F.col("text"), "embedding")
+
+
+def _searched(spark, sf_dir) -> IndexStore:
+    store = _store(spark, 64)
+    store.upsert_text_only(_doc_chunks(spark, sf_dir))
+    store.upsert_chunks(_with_vectors(spark, sf_dir), MODEL)
+    return store
+
+
+#: The vector of a text is that of the first document that brings it.
+_NEAR = f"""
+v AS (SELECT {_HASH} AS content_hash, arg_min(embedding, doc_id) AS embedding FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1),
+mapped AS (SELECT coalesce(lang, '') AS branch, coalesce(source, '') AS file_path, doc_id AS chunk_index, {_HASH} AS content_hash FROM documents),
+near AS (
+  SELECT mapped.*, round(list_cosine_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) + 0 AS score
+  FROM mapped JOIN v USING (content_hash), (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE branch = 'en'),
+near_ranked AS (SELECT *, row_number() OVER (ORDER BY score, content_hash, file_path, chunk_index) - 1 AS rank FROM near QUALIFY rank < 10)
+"""
+_FOUND = f"""
+{_bm25([TWO.split()[:1], TWO.split()[1:]], where="lang = 'en'")},
+found_ranked AS (
+  SELECT coalesce(source, '') AS file_path, doc_id AS chunk_index, {_HASH} AS content_hash, score, row_number() OVER (ORDER BY score, {_HASH}, source, doc_id) - 1 AS rank
+  FROM hits JOIN (SELECT doc_id, source FROM documents) USING (doc_id) QUALIFY rank < 10)
+"""
+_PLACE = ("file_path", "chunk_index", "content_hash", "rank")
+
+
+@_query(f"WITH {_NEAR} SELECT file_path, chunk_index::INT AS chunk_index, content_hash, rank, score FROM near_ranked")
+def search_vector(spark, sf_dir):
+    """A store's nearest chunks of one branch."""
+    return _searched(spark, sf_dir).search_vector(ROOT, "en", _query_vector(spark, sf_dir), TOP).select(*_PLACE, "score")
+
+
+@_query(f"WITH {_FOUND} SELECT file_path, chunk_index::INT AS chunk_index, content_hash, rank, score FROM found_ranked")
+def search_keyword(spark, sf_dir):
+    """A store's keyword search in one branch, by its index of postings; statistics are of all branches."""
+    store = _store(spark)
+    store.upsert_text_only(_doc_chunks(spark, sf_dir))
+    store.rebuild_keyword_index()
+    return store.search_keyword(ROOT, "en", TWO, TOP).select(*_PLACE, F.round("score", 9).alias("score"))
+
+
+class _Given:
+    """An embedding model that knows one answer."""
+
+    def __init__(self, vector: list[float]):
+        self.vector = vector
+
+    def embed_query(self, _: str) -> list[float]:
+        return self.vector
+
+
+@_query(
+    f"""
+WITH {_NEAR}, {_FOUND},
+lists AS (SELECT 0 AS list, chunk_index, content_hash, rank FROM near_ranked UNION ALL SELECT 1, chunk_index, content_hash, rank FROM found_ranked),
+once AS (SELECT chunk_index, list, content_hash, row_number() OVER (PARTITION BY list ORDER BY rank) - 1 AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY list, content_hash ORDER BY rank) AS nth FROM lists) WHERE nth = 1),
+fused AS (SELECT content_hash, sum(1.0::DOUBLE / (60 + rank + 1)) AS score, arg_min(chunk_index, rank * 2 + list) AS chunk_index FROM once GROUP BY content_hash)
+SELECT chunk_index::INT AS chunk_index, content_hash, round(score, 12) AS score, row_number() OVER (ORDER BY score DESC, content_hash) - 1 AS rank FROM fused QUALIFY rank < 10
+"""
+)
+def search_hybrid(spark, sf_dir):
+    """A search from end to end: the searcher asks the model, the store and the fusion."""
+    searcher = searching.Searcher(_searched(spark, sf_dir), _Given(_query_vector(spark, sf_dir)))
+    got = searcher.search(ROOT, "en", TWO, "hybrid", TOP, include_related=False).results  # TOP rows
+    rows = [(int(r["chunk_index"]), r["content_hash"], round(r["score"], 12), int(r["rank"])) for r in got]
+    return spark.createDataFrame(rows, "chunk_index int, content_hash string, score double, rank long")
+
+
 # Graph ----------------------------------------------------------------------------------------------------
 
 
@@ -343,99 +444,129 @@ def new_vs_existing(spark, sf_dir):
     return indexing.split_new(chunks, rows.where("source = 'src0'")).select("doc_id", "content_hash", "is_new")
 
 
-@_query(f"WITH d AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents WHERE doc_id % 2 = 0), m AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents WHERE doc_id % 3 = 0) SELECT content_hash, content_hash NOT IN (SELECT content_hash FROM m) AS orphan FROM d")
+@_query(
+    f"""
+WITH e AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents WHERE doc_id % 2 = 0), k AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents WHERE doc_id % 6 = 0)
+SELECT content_hash, (SELECT count(*) FROM e) - (SELECT count(*) FROM k) AS removed FROM k
+"""
+)
 def orphans(spark, sf_dir):
-    """Hashes of even documents are embedded, those of every third are mapped: what is embedded only is an orphan."""
-    hashes = content_hash(spark, sf_dir)
-    held, used = hashes.where("doc_id % 2 = 0").select("content_hash").distinct(), hashes.where("doc_id % 3 = 0").select("content_hash").distinct()
-    return held.join(used.withColumn("_used", F.lit(True)), "content_hash", "left").select("content_hash", F.col("_used").isNull().alias("orphan"))
+    """Even documents are stored, the chunks of all but every third are pruned; what a store has then once the orphans have gone, and how many went."""
+    docs = _docs(spark, sf_dir)
+    store = _store(spark)
+    store.upsert_text_only(_chunks(docs.where("doc_id % 2 = 0"), F.lit("main"), F.col("doc_id"), F.lit(0), F.col("text")))
+    store.prune_tails(ROOT, "main", docs.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("file_path"), F.lit(1).alias("n")), unseen_go=True)
+    removed = store.delete_orphans()
+    return store.read("embeddings").select("content_hash", F.lit(removed).cast("long").alias("removed"))
 
 
-@_query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem JOIN (SELECT o_orderkey, o_orderkey % 4 AS n FROM orders) ON l_orderkey = o_orderkey WHERE l_linenumber <= n")
+@_query("SELECT DISTINCT l_orderkey::VARCHAR AS file_path, (l_linenumber - 1)::INT AS chunk_index FROM lineitem LEFT JOIN (SELECT o_orderkey, o_orderkey % 4 AS n FROM orders) ON l_orderkey = o_orderkey WHERE l_linenumber <= coalesce(n, 0)")
 def prune_tail(spark, sf_dir):
-    """Orders stand for files and their lines for chunks: each keeps its first n."""
-    counts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 4).alias("n"))
-    kept = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")).join(counts, "l_orderkey")
-    return kept.where("l_linenumber <= n").select("l_orderkey", "l_linenumber")
+    """Orders stand for files and their lines for chunks: in the store each keeps its first n."""
+    store = _store(spark)
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    store.upsert_text_only(_chunks(line, F.lit("main"), F.col("l_orderkey"), F.col("l_linenumber") - 1, F.concat_ws(" ", "l_orderkey", "l_linenumber")))
+    counts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_path"), (F.col("o_orderkey") % 4).alias("n"))
+    store.prune_tails(ROOT, "main", counts, unseen_go=True)
+    return store.read("chunks", ROOT, "main").select("file_path", "chunk_index")
 
 
-@_query("SELECT branch, doc_id, h AS content_hash FROM (SELECT coalesce(lang, '') AS branch, doc_id, " + _HASH + " AS h FROM documents UNION ALL SELECT 'feature', doc_id, " + _HASH + " FROM documents WHERE lang = 'en')")
+@_query("SELECT branch, doc_id::INT AS chunk_index, h AS content_hash FROM (SELECT coalesce(lang, '') AS branch, doc_id, " + _HASH + " AS h FROM documents UNION ALL SELECT 'feature', doc_id, " + _HASH + " FROM documents WHERE lang = 'en')")
 def copy_branch(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.coalesce("lang", F.lit("")).alias("branch"), "doc_id", T.content_hash(F.col("text")).alias("content_hash"))
-    return rows.unionByName(rows.where("branch = 'en'").withColumn("branch", F.lit("feature")))
-
-
-@_query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
-def latest_per_key(spark, sf_dir):
-    """The newest row of each key."""
-    newest = F.max_by(F.struct("o_orderkey", "o_totalprice"), "o_orderkey").alias("r")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(newest).select("o_custkey", "r.*")
+    store = _store(spark)
+    store.upsert_text_only(_doc_chunks(spark, sf_dir))
+    store.copy_branch(ROOT, "en", "feature")
+    return store.read("chunks").select("branch", "chunk_index", "content_hash")
 
 
 @_query(
-    """
-SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events WHERE event_id % 10 <> 0 OR event_type <> 'click' GROUP BY user_id, event_type
+    f"""
+SELECT DISTINCT {_HASH} AS content_hash, CASE WHEN {_HASH} IN (SELECT {_HASH} FROM documents JOIN embeddings ON doc_id = vec_id) THEN '{MODEL}' ELSE '{TEXT_ONLY}' END AS model_id FROM documents
 """
 )
+def latest_per_key(spark, sf_dir):
+    """What a store has of each text after compaction: the row with a vector, where there is one beside that without."""
+    store = _searched(spark, sf_dir)
+    store.compact_vectors()
+    return store.read("embeddings").select("content_hash", "model_id")
+
+
+@_query("SELECT user_id || '/' || event_type AS file_path, max(event_id)::VARCHAR AS content FROM events WHERE event_id % 10 <> 0 OR event_type <> 'click' GROUP BY user_id, event_type")
 def upsert_last_wins(spark, sf_dir):
-    """Of rows of one batch with one key the last stays, after some were deleted."""
-    rows = table(spark, sf_dir, "events").where("event_id % 10 <> 0 or event_type <> 'click'")
-    last = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.desc("event_id")))
-    return rows.withColumn("_n", last).where("_n = 1").select("user_id", "event_type", "event_id", "value")
+    """Of rows of one batch with one key a store has the last."""
+    rows = table(spark, sf_dir, "events").where("event_id % 10 <> 0 or event_type <> 'click'").orderBy("event_id")
+    store = _store(spark)
+    store.upsert_text_only(_chunks(rows, F.lit("main"), F.concat_ws("/", "user_id", "event_type"), F.lit(0), F.col("event_id")))
+    return store.all_chunks(ROOT, "main").select("file_path", "content")
 
 
-@_query("SELECT coalesce(source, '') AS source, coalesce(lang, '') AS branch, count(*) AS n_chunks, count(DISTINCT " + _HASH + ") AS n_hashes FROM documents GROUP BY 1, 2")
+@_query("SELECT coalesce(lang, '') AS branch, count(*) AS n_chunks, count(DISTINCT " + _HASH + ") AS n_edges FROM documents GROUP BY 1")
 def counts(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("branch"), T.content_hash(F.col("text")).alias("h"))
-    return rows.groupBy("source", "branch").agg(F.count("*").alias("n_chunks"), F.count_distinct("h").alias("n_hashes"))
+    """A store's chunks and edges of each branch; every text calls one other."""
+    store = _store(spark)
+    store.upsert_text_only(_doc_chunks(spark, sf_dir))
+    store.upsert_edges(store.read("chunks").select(F.col("content_hash").alias("source_hash"), F.lit("0").alias("target_hash"), "repo_root", "branch"))
+    rows = [(b, store.count_chunks(ROOT, b), store.count_edges(ROOT, b)) for b in store.list_branches(ROOT)]
+    return spark.createDataFrame(rows, "branch string, n_chunks long, n_edges long")
 
 
-@_query("SELECT source, coalesce(n, 0) AS n FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents) LEFT JOIN (SELECT source AS s, count(*) AS n FROM documents WHERE lang = 'es' GROUP BY source) ON source = s")
+@_query("SELECT source AS file_path, coalesce(n, 0) AS n FROM (SELECT DISTINCT coalesce(source, '') AS source FROM documents) LEFT JOIN (SELECT source AS s, count(*) AS n FROM documents WHERE lang = 'es' GROUP BY source) ON source = s")
 def chunks_per_file(spark, sf_dir):
-    """Counts, with zero for those that have none."""
-    docs = _docs(spark, sf_dir).withColumn("source", F.coalesce("source", F.lit("")))
-    n = docs.where("lang = 'es'").groupBy("source").agg(F.count("*").alias("n"))
-    return docs.select("source").distinct().join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts as the indexer makes them, with zero for files that have none."""
+    chunks = _doc_chunks(spark, sf_dir)
+    return indexing.counts_of(chunks.select("file_path").distinct(), chunks.where("branch = 'es'"))
 
 
-@_query("SELECT lang AS branch FROM documents WHERE lang IS NOT NULL UNION SELECT 'state-' || c_mktsegment FROM customer ORDER BY 1")
+@_query("SELECT DISTINCT coalesce(lang, '') AS branch FROM documents UNION SELECT 'state-' || c_mktsegment FROM customer ORDER BY 1")
 def branches(spark, sf_dir):
-    """Branches with chunks and branches with a state, each once, sorted."""
-    one = table(spark, sf_dir, "documents").where("lang is not null").select(F.col("lang").alias("branch"))
-    two = table(spark, sf_dir, "customer").select(F.concat(F.lit("state-"), "c_mktsegment").alias("branch"))
-    return one.unionByName(two).distinct().orderBy("branch")
+    """A store's branches: those with chunks and those with a state, each once, sorted."""
+    store = _store(spark)
+    store.upsert_text_only(_doc_chunks(spark, sf_dir))
+    for r in table(spark, sf_dir, "customer").select("c_mktsegment").distinct().collect():  # a few segments
+        store.set_state(head_key(ROOT, f"state-{r[0]}"), "head")
+    return spark.createDataFrame([(b,) for b in store.list_branches(ROOT)], "branch string")
 
 
 @_query(
     """
-WITH c AS (SELECT o_custkey, count(*) AS changed FROM orders GROUP BY o_custkey)
-SELECT o_custkey, changed, CASE WHEN changed <= 10 THEN 'auto' WHEN changed <= 50 THEN 'warn' ELSE 'significant' END AS staleness FROM c
+WITH c AS (SELECT DISTINCT count(*) AS changed FROM orders GROUP BY o_custkey)
+SELECT changed, CASE WHEN changed <= 10 THEN 'index is stale (' || changed || ' files changed), updating it first' WHEN changed <= 50 THEN 'index is stale: ' || changed || ' files changed'
+  ELSE 'index is significantly stale: ' || changed || ' files changed; run update' END AS said, changed <= 10 AS updates FROM c
 """
 )
 def staleness(spark, sf_dir):
-    n = F.col("changed")
-    kind = F.when(n <= indexing.AUTO_UPDATE, "auto").when(n <= indexing.MILD, "warn").otherwise("significant")
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("changed")).withColumn("staleness", kind)
+    """What is said of each number of changed files, and whether a search updates first; customers' orders stand for files."""
+    numbers = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select("n").distinct().collect()  # as many as there are counts
+    return spark.createDataFrame([(r[0], *indexing.staleness("hybrid", r[0])) for r in numbers], "changed long, said string, updates boolean")
 
 
-@_query("SELECT DISTINCT s_nationkey::BIGINT AS model FROM supplier ORDER BY 1 LIMIT 2")
+@_query(f"SELECT '{MODEL}' AS model, true AS refused, count(DISTINCT {_HASH}) AS n_vectors FROM documents JOIN embeddings ON doc_id = vec_id")
 def model_check(spark, sf_dir):
-    """Whether there is more than one: two distinct values tell."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("long").alias("model")).distinct().orderBy("model").limit(2)
-
-
-@_query(f"WITH h AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents), k AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents WHERE lang = 'de') SELECT content_hash, content_hash IN (SELECT content_hash FROM k) AS there FROM h")
+    """The one model of a store, and whether it refuses another one and stays as it is."""
+    store = _store(spark, 64)
+    rows = _with_vectors(spark, sf_dir)
+    store.upsert_chunks(rows, MODEL)
+    try:
+        store.upsert_chunks(rows, "another")
+        refused = False
+    except StoreError:
+        refused = True
+    return spark.createDataFrame([(*store.model_ids(), refused, store.read("embeddings").count())], "model string, refused boolean, n_vectors long")
+
+
+@_query(f"WITH h AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents), k AS (SELECT DISTINCT {_HASH} AS content_hash FROM documents JOIN embeddings ON doc_id = vec_id) SELECT content_hash, content_hash IN (SELECT content_hash FROM k) AS there FROM h")
 def has_hashes(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("lang", T.content_hash(F.col("text")).alias("content_hash"))
-    held = rows.where("lang = 'de'").select("content_hash").distinct().withColumn("there", F.lit(True))
-    return rows.select("content_hash").distinct().join(held, "content_hash", "left").select("content_hash", F.coalesce("there", F.lit(False)).alias("there"))
+    """For which texts a store has a vector of the model."""
+    return _searched(spark, sf_dir).has_hashes(content_hash(spark, sf_dir), MODEL)
 
 
-@_query(f"SELECT (count(*) - count(DISTINCT {_HASH}))::DOUBLE / count(*) AS dead_ratio, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents")
+@_query(f"SELECT k::DOUBLE / (n + k) AS dead_ratio, 0.0::DOUBLE AS compacted FROM (SELECT count(DISTINCT {_HASH}) AS n FROM documents), (SELECT count(DISTINCT {_HASH}) AS k FROM documents JOIN embeddings ON doc_id = vec_id)")
 def dead_ratio(spark, sf_dir):
-    """The share of rows that are superseded by one of the same hash."""
-    rows = _docs(spark, sf_dir).select(T.content_hash(F.col("text")).alias("h"), F.length("text").alias("n"))
-    return rows.agg(((F.count("*") - F.count_distinct("h")) / F.count("*")).alias("dead_ratio"), F.coalesce(F.sum("n"), F.lit(0)).alias("chars"))
+    """The share of a store's rows that newer ones of the same text have superseded, and the same after compaction."""
+    store = _searched(spark, sf_dir)
+    before = store.dead_ratio()
+    store.compact_vectors()
+    return spark.createDataFrame([(before, store.dead_ratio())], "dead_ratio double, compacted double")
 
 
 # Output ---------------------------------------------------------------------------------------------------
@@ -463,7 +594,10 @@ FROM (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
 """
 )
 def format_json(spark, sf_dir):
-    """A result as JSON, as the search's machine output has it."""
+    """Results as JSON, as a search's machine output has them."""
     rows = _docs(spark, sf_dir).fillna("", ["source", "lang"]).fillna(0, ["n_chars"])
-    shape = F.struct(F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"), F.col("lang").alias("language"), F.col("n_chars").cast("double").alias("score"), F.col("text").alias("content"))
-    return rows.select("doc_id", F.to_json(shape).alias("json"))
+    shown = rows.select(
+        "doc_id", F.col("source").alias("file_path"), F.lit(1).alias("start_line"), F.size(F.split("text", "\n", -1)).alias("end_line"),
+        F.col("lang").alias("language"), F.col("n_chars").cast("double").alias("score"), F.col("text").alias("content"),
+    )
+    return searching.json_lines(shown).select("doc_id", "json")

@@ -61,7 +61,7 @@ def rebuild_edges(store: IndexStore, root: str, branch: str) -> None:
     store.replace_edges(root, branch, build_edges(extract_references(chunks), signature_names(chunks)))
 
 
-def _counts(files: DataFrame, chunks: DataFrame) -> DataFrame:
+def counts_of(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """file_path, n of every file; 0 where it has no chunks."""
     n = chunks.groupBy("file_path").agg(F.count("*").alias("n"))
     return files.select("file_path").join(n, "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).alias("n"))
@@ -75,7 +75,7 @@ def index_repo(store: IndexStore, root: str, config: Config, embedder: Embedder
     files = repository.read_listed(store.spark, root, paths)
     chunks = materialize(chunk_files(files, root, branch, config.chunking.max_chunk_tokens, config.chunking.min_chunk_tokens), "chunks")
     _embed_and_map(store, chunks, embedder)
-    store.prune_tails(root, branch, _counts(files, chunks), unseen_go=True)
+    store.prune_tails(root, branch, counts_of(files, chunks), unseen_go=True)
     rebuild_edges(store, root, branch)
     store.rebuild_keyword_index()
     store.set_state(head_key(root, branch), head)
@@ -102,7 +102,7 @@ def update_repo(store: IndexStore, root: str, config: Config, embedder: Embedder
             own = repository.read_listed(store.spark, root, changed)
             chunks = materialize(chunk_files(own, root, branch, config.chunking.max_chunk_tokens, config.chunking.min_chunk_tokens), "chunks")
             _embed_and_map(store, chunks, embedder)
-            store.prune_tails(root, branch, _counts(own, chunks))
+            store.prune_tails(root, branch, counts_of(own, chunks))
         rebuild_edges(store, root, branch)
         store.rebuild_keyword_index()
         store.set_file_hashes(root, branch, hashes)

@@ -20,6 +20,8 @@ from siltstone.store import IndexStore
 MODES = ("hybrid", "semantic", "keyword")
 DEFAULT_TOP_K, DEFAULT_RRF_K, DEFAULT_RELATED = 10, 60.0, 5
 PREVIEW = 120
+#: What a result has as JSON.
+FIELDS = ("file_path", "start_line", "end_line", "language", "score", "content", "chunk_index")
 
 
 def resolve_mode(override: str, default: str) -> str:
@@ -147,7 +149,7 @@ def human(response: Response) -> str:
 
 
 def as_json(query: str, response: Response) -> str:
-    rows = lambda found: [{k: r[k] for k in ("file_path", "start_line", "end_line", "language", "score", "content", "chunk_index")} for r in found]
+    rows = lambda found: [{k: r[k] for k in FIELDS} for r in found]
     return json.dumps({"query": query, "mode": response.mode, "results": rows(response.results), "related": rows(response.related)}, ensure_ascii=False)
 
 
@@ -170,3 +172,9 @@ def compact_lines(rows: DataFrame) -> DataFrame:
 
     place = F.concat(F.col("file_path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
     return rows.withColumn("line", F.concat_ws("\t", F.format_string("%.2f", F.col("score")), place, cut(F.col("content"))))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """The results of ``as_json`` of a table, as a column ``json``: what each row has of the fields, in their order."""
+    shown = [c for c in FIELDS if c in rows.columns]
+    return rows.withColumn("json", F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}))

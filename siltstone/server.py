@@ -37,7 +37,7 @@ class Server:
     def search_codebase(self, query: str = "", mode: str = "", limit: int = 0) -> str:
         query = query.strip()
         if not query:
-            raise ToolError("query must not be empty")
+            raise ToolError("a search needs words")
         resolved = searching.resolve_mode(mode, self.config.search.mode)
         searcher = searching.Searcher(self.store, None if resolved == "keyword" else self.embedder, self.config.search, warn=lambda s: None)
         got = searcher.search(self.root, repository.current_branch(self.root), query, resolved, searching.clamp_limit(limit), True, RELATED)

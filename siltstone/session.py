@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -68,10 +69,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where the session names none."""
+    """The folder that the driver and all executors share. Where the session names none, a local one serves a local master; on a cluster it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="siltstone-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -88,6 +91,15 @@ def _drop_scratch() -> None:
             pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one; what is written there goes when the driver ends."""
+    if not _scratch:
+        atexit.register(_drop_scratch)
+    path = f"{shared_dir(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -96,9 +108,6 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/siltstone/{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(_drop_scratch)
-    _scratch.append((spark, path))
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -89,12 +89,31 @@ def walk_files(root: str | Path, extra: list[str] = ()) -> list[str]:
     return sorted(out)
 
 
+def _binary(root: str | Path, shas: list[str]) -> set[str]:
+    """Those of the objects that have a zero byte among the first ones; each has MOST_BYTES at most, and one is in memory at a time."""
+    out: set[str] = set()
+    if not shas:
+        return out
+    with subprocess.Popen(["git", "-C", str(root), "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as p:
+        for sha in shas:
+            p.stdin.write(sha.encode() + b"\n")
+            p.stdin.flush()
+            size = int(p.stdout.readline().split()[2])
+            if b"\0" in p.stdout.read(size + 1)[: min(PROBE, size)]:
+                out.add(sha)
+        p.stdin.close()
+    return out
+
+
 def diff_files(root: str | Path, old: str, new: str) -> tuple[list[str], list[str], list[str]]:
-    """Added, modified and deleted files between two commits. A rename is both; from no commit all files are added."""
+    """Added, modified and deleted files between two commits. A rename is both; from no commit all files are added that a walk would take."""
     if not old.strip("0"):
+        m = ignore_matcher(root)
         listed = _git(root, "ls-tree", "-r", "-l", "-z", new).split("\0")
         rows = [(x.split("\t", 1)[1], *x.split("\t", 1)[0].split()) for x in listed if x]
-        return sorted(p for p, mode, _, _, size in rows if mode.startswith("100") and int(size) <= MOST_BYTES), [], []
+        blobs = {p: sha for p, mode, _, sha, size in rows if mode.startswith("100") and int(size) <= MOST_BYTES and not m.ignored(p)}
+        binary = _binary(root, sorted(set(blobs.values())))
+        return sorted(p for p, sha in blobs.items() if sha not in binary), [], []
     parts = _git(root, "diff-tree", "-r", "-z", "--no-renames", "--name-status", old, new).split("\0")
     by: dict[str, list[str]] = {"A": [], "M": [], "D": []}
     for status, path in zip(parts[::2], parts[1::2], strict=False):

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators import graph, keyword, vector
 from siltstone.operators.chunking import CHUNKS
+from siltstone.session import materialize
 
 TEXT_ONLY = "text-only"
 KEYS = ("repo_root", "branch", "file_path", "chunk_index")
@@ -77,6 +78,7 @@ class IndexStore:
         stream = self._fs.create(draft, True)
         stream.write(json.dumps(new).encode())
         stream.close()
+        # a rename that fails where the target is there takes a name once; on object stores without one, writers must take turns by themselves
         if self._fs.exists(target) or not self._fs.rename(draft, target):
             raise StoreError("another writer was faster; open the store again")
         self.manifest, self.version = new, self.version + 1
@@ -122,20 +124,21 @@ class IndexStore:
             raise StoreError(f"the store has vectors of {held[0]!r}: refusing to mix them with those of {model_id!r}")
 
     def _hashed(self, chunks: DataFrame) -> DataFrame:
-        return chunks.withColumns({"content_hash": T.content_hash(F.col("content")), "chunk_text": T.normalize_for_hash(F.col("content"))})
+        """With ``_at``, the place of a row in its batch."""
+        return chunks.withColumns({"content_hash": T.content_hash(F.col("content")), "chunk_text": T.normalize_for_hash(F.col("content")), "_at": F.monotonically_increasing_id()})
 
     def _append_vectors(self, rows: DataFrame, model_id: str) -> Callable[[dict], None]:
-        """rows: content_hash, chunk_text, embedding. Hashes that the model has already stay as they are; text-only ones give way to vectors."""
+        """rows: content_hash, chunk_text, embedding, _at. Hashes that the model has already stay as they are, and of rows with one hash the first counts; text-only ones give way to vectors."""
         there = self.read("embeddings").where(F.col("model_id") == model_id).select("content_hash")
-        once = rows.groupBy("content_hash").agg(F.min_by(F.struct("chunk_text", "embedding"), "chunk_text").alias("r")).select("content_hash", "r.*")
+        once = rows.groupBy("content_hash").agg(F.min_by(F.struct("chunk_text", "embedding"), "_at").alias("r")).select("content_hash", "r.*")
         new = once.join(there, "content_hash", "left_anti")
         part = self._write(new.select("*", F.lit(model_id).alias("model_id"), F.current_timestamp().alias("created_at"), F.lit(self.version + 1).cast("long").alias("seq")), "embeddings")
         return lambda m: m["parts"]["embeddings"].setdefault("", []).append(part)
 
     def _mapped(self, hashed: DataFrame) -> list[Callable[[dict], None]]:
-        """Upserts by file and index, scope by scope; of rows with one key in a batch the last hash by order wins."""
-        keyed = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("content_hash"))))
-        new = keyed.where("_n = 1").drop("_n")
+        """Upserts by file and index, scope by scope; of rows with one key in a batch the last one wins."""
+        keyed = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("_at"))))
+        new = materialize(keyed.where("_n = 1").drop("_n"), "batch")
         changes = []
         for r in new.select("repo_root", "branch").distinct().collect():  # the scopes of a batch
             own = new.where((F.col("repo_root") == r[0]) & (F.col("branch") == r[1])).select(*(c.split()[0] for c in SCHEMAS["chunks"].split(", ")))
@@ -153,13 +156,13 @@ class IndexStore:
         if wrong is not None:
             raise StoreError(f"a vector has {wrong[0]} dimensions, the store {self.dimensions}")
         hashed = self._hashed(chunks)
-        vectors = self._append_vectors(hashed.select("content_hash", "chunk_text", F.col(vector_col).cast("array<float>").alias("embedding")), model_id)
+        vectors = self._append_vectors(hashed.select("content_hash", "chunk_text", F.col(vector_col).cast("array<float>").alias("embedding"), "_at"), model_id)
         self._all([vectors, *self._mapped(hashed)])
 
     def upsert_text_only(self, chunks: DataFrame) -> None:
         hashed = self._hashed(chunks)
         known = hashed.join(self.read("embeddings").select("content_hash"), "content_hash", "left_anti")
-        texts = self._append_vectors(known.select("content_hash", "chunk_text", F.lit(None).cast("array<float>").alias("embedding")), TEXT_ONLY)
+        texts = self._append_vectors(known.select("content_hash", "chunk_text", F.lit(None).cast("array<float>").alias("embedding"), "_at"), TEXT_ONLY)
         self._all([texts, *self._mapped(hashed)])
 
     def upsert_mappings(self, chunks: DataFrame, model_id: str) -> None:
@@ -243,9 +246,11 @@ class IndexStore:
         part = self._write(self.latest(), "embeddings")
         self._commit(lambda m: m["parts"]["embeddings"].__setitem__("", [part]))
 
-    def latest(self) -> DataFrame:
-        """The newest row of each hash; one with a vector before one without."""
+    def latest(self, hashes: DataFrame | None = None) -> DataFrame:
+        """The newest row of each hash (of ``hashes``, where they are given: others aren't grouped); one with a vector before one without."""
         rows = self.read("embeddings")
+        if hashes is not None:
+            rows = rows.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
         newest = F.struct((F.col("model_id") != TEXT_ONLY).alias("v"), "seq")
         picked = rows.groupBy("content_hash").agg(F.max_by(F.struct("model_id", "chunk_text", "embedding", "created_at", "seq"), newest).alias("r"))
         return picked.select("content_hash", "r.*")
@@ -289,12 +294,13 @@ class IndexStore:
 
     # Reads ----------------------------------------------------------------------------------------------
 
-    def texts(self) -> DataFrame:
-        return self.latest().select("content_hash", "chunk_text")
+    def texts(self, hashes: DataFrame | None = None) -> DataFrame:
+        return self.latest(hashes).select("content_hash", "chunk_text")
 
     def all_chunks(self, repo_root: str | None = None, branch: str | None = None) -> DataFrame:
         """Chunks with ``content``, the newest text of their hash or an empty one; ordered by file and index."""
-        joined = self.read("chunks", repo_root, branch).join(self.texts(), "content_hash", "left").withColumn("content", F.coalesce("chunk_text", F.lit(""))).drop("chunk_text")
+        own = self.read("chunks", repo_root, branch)
+        joined = own.join(self.texts(None if repo_root is None else own), "content_hash", "left").withColumn("content", F.coalesce("chunk_text", F.lit(""))).drop("chunk_text")
         return joined.orderBy("file_path", "chunk_index")
 
     def _searched(self, repo_root: str | None = None, branch: str | None = None) -> DataFrame:
@@ -336,7 +342,7 @@ class IndexStore:
         if k > 0 and len(query) != self.dimensions:
             raise StoreError(f"the query has {len(query)} dimensions, the store {self.dimensions}")
         own = self.read("chunks", repo_root, branch)
-        held = self.latest().where(F.col("embedding").isNotNull()).join(own.select("content_hash").distinct(), "content_hash", "left_semi")
+        held = self.latest(own).where(F.col("embedding").isNotNull())
         best = vector.nearest(held.select("content_hash", "chunk_text", "embedding"), query, k, ties=("content_hash",), into="score")  # k hashes
         hits = own.join(F.broadcast(best), "content_hash").withColumn("content", F.coalesce("chunk_text", F.lit("")))
         return _ranked(hits, k)

@@ -65,18 +65,18 @@ def test_models_and_dimensions(spark, store):
 
 
 def test_scoped_search(spark, store):
-    rows = [("other", f"d{i}.go", 0, f"distractor needle {i}", axis(0)) for i in range(10)] + [("main", "target.go", 0, "func needle() {}", [0.9, 0.1, 0.0, 0.0])]
+    rows = [("other", f"d{i}.go", 0, f"distractor bobbin {i}", axis(0)) for i in range(10)] + [("main", "target.go", 0, "func bobbin() {}", [0.9, 0.1, 0.0, 0.0])]
     store.upsert_chunks(chunks(spark, rows), "m")
     assert [r["file_path"] for r in store.search_vector("/r", "main", axis(0), 1).collect()] == ["target.go"]
     for _ in range(2):  # scanned, then from the index
-        got = store.search_keyword("/r", "main", "needle", 10).collect()
+        got = store.search_keyword("/r", "main", "bobbin", 10).collect()
         assert [r["file_path"] for r in got] == ["target.go"] and got[0]["score"] < 0 and got[0]["rank"] == 0
         store.rebuild_keyword_index()
     assert store.search_vector("/r", "main", axis(0), 0).count() == 0 and store.search_keyword("/r", "main", "  ", 5).count() == 0
     with pytest.raises(StoreError):
         store.search_vector("/r", "main", [1.0], 3)
     store.delete_files("/r", "main", ["target.go"])
-    assert store.search_keyword("/r", "main", "needle", 10).count() == 0 and store.read("embeddings").count() == 11
+    assert store.search_keyword("/r", "main", "bobbin", 10).count() == 0 and store.read("embeddings").count() == 11
 
 
 def test_scores_of_scan_and_index(spark, store):
@@ -88,6 +88,12 @@ def test_scores_of_scan_and_index(spark, store):
     assert [r[9] for r in one] == pytest.approx([r[9] for r in two])
 
 
+def test_the_last_row_of_a_batch_wins(spark, store):
+    rows = [("main", "a.go", 0, f"text {i * 7 % 10}", None) for i in range(10)]
+    store.upsert_text_only(chunks(spark, rows).drop("embedding"))
+    assert [r["content"] for r in store.all_chunks("/r", "main").collect()] == ["text 3"]
+
+
 def test_trim_prune_and_lists(spark, store):
     store.upsert_text_only(chunks(spark, [("main", "tail.go", i, f"c{i}", None) for i in range(3)] + [("main", "a.go", 0, "x", None), ("feature", "g.go", 0, "x", None)]).drop("embedding"))
     store.trim_file("/r", "main", "tail.go", 2)
@@ -204,7 +210,7 @@ def test_walk_and_diff(repo):
     commit(repo)
     added, modified, deleted = repository.diff_files(repo, old, repository.head_commit(repo))
     assert (added, modified, deleted) == (["new.txt", "renamed.me"], ["notes.md"], ["delete.me", "rename.me"])
-    assert "auth.go" in repository.diff_files(repo, "0" * 40, old)[0] and "big.txt" not in repository.diff_files(repo, "", old)[0]
+    assert repository.diff_files(repo, "0" * 40, old) == ([p for p in found if p != "link.md"], [], [])
     git(repo, "checkout", "-q", "--detach")
     assert repository.current_branch(repo) == repository.head_commit(repo)[:12] and repository.list_branches(repo) == ["main"]
     assert repository.repo_root(repo / "sub") == str(repo)
@@ -366,3 +372,4 @@ def test_streaming(spark, store, tmp_path):
     write(folder, c_dot_md="third file\n")
     start()
     assert store.list_files("/r", "main").count() == 3 and store.search_keyword("/r", "main", "third", 5).count() == 1
+    assert store.file_hashes("/r", "main").count() == 3 and store.state(head_key("/r", "main")) == "stream-0"
