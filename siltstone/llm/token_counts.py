@@ -10,6 +10,7 @@ very long texts are split and counted piece by piece. Columns besides the two th
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable
 from functools import lru_cache
@@ -38,6 +39,15 @@ class _Merger:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        spec = json.load(open(path, encoding="utf-8"))
+        pre = spec["pre_tokenizer"] or {}
+        #: Whether the file splits texts as SPLIT does, and no added token takes more of a text than its own characters.
+        self.plain = (
+            spec["normalizer"] is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space")
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+        )
         self.bare = Tokenizer(self.full.model)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
 
@@ -54,6 +64,8 @@ def _merger(path: str) -> _Merger:
 def whole_tokens(path: str) -> frozenset[str]:
     """The proof: strings of the vocabulary (byte-level alphabet) which all merges turn into one token."""
     m = _merger(path)
+    if not m.plain:
+        return frozenset()
     vocab = [s for s in m.full.get_vocab(with_added_tokens=False) if s not in m.special]
     return frozenset(s for s, n in zip(vocab, m.counts(vocab), strict=True) if n == 1)
 
@@ -101,6 +113,8 @@ class TokenCounter:
         self.known.update(zip(words, _merger(self.path).counts(shown), strict=True))
 
     def count(self, text: str) -> int:
+        if not _merger(self.path).plain:  # the file splits texts by rules of its own: the library counts
+            return len(_merger(self.path).full.encode(text, add_special_tokens=False).ids)
         total, segments = self._segments(text)
         for s in segments:
             pieces = iter(self._pieces(s))

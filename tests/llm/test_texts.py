@@ -370,6 +370,13 @@ def test_token_counts_are_the_library(spark):
         assert counter.count(x) == len(t.encode(x, add_special_tokens=False).ids), x
 
 
+def test_files_with_rules_of_their_own_are_counted_by_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter, t = token_counts.TokenCounter(path, token_counts.whole_tokens(path)), library("word_bpe_49k.json")
+    for x in fuzz(14, 200):
+        assert counter.count(x) == len(t.encode(x, add_special_tokens=False).ids)
+
+
 def test_the_proof_holds():
     path = public_tokenizers.path("byte_bpe_50k.json")
     solo, t = token_counts.whole_tokens(path), library("byte_bpe_50k.json")
