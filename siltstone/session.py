@@ -55,9 +55,15 @@ def size_of(df: DataFrame) -> int | None:
     return n if n < 1 << 60 else None
 
 
+#: Bytes of rows that go to Python at once. Texts are long: Spark's default of 64 MB is held twice in the JVM and again in Python, for each core.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application, so that their Python can import it."""
+    """Send the package to the executors, once per application, so that their Python can import it; and keep what goes to Python small."""
     sc = spark.sparkContext
+    if not 0 < _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m")) <= BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
@@ -68,6 +74,12 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(archive)
 
 
+def _bytes(size: str) -> int:
+    """Of a size as Spark writes them."""
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", size.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30, "t": 40, "tb": 40}[unit]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share. Where the session names none, a local one serves a local master; on a cluster it is an error."""
     sc = spark.sparkContext
