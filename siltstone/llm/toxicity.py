@@ -136,8 +136,8 @@ class Scorer:
 def _kernel(words: list[str], codes: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Words by landmarks. landmarks: codes by landmarks."""
     out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-    for i in range(0, len(words), 1000):
-        part = words[i : i + 1000]
+    for i in range(0, len(words), 250):  # a row of landmarks for each subsequence: some 25 MB
+        part = words[i : i + 250]
         row, code, weight = subsequences(part)
         col = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
         hit = codes[col] == code
@@ -163,13 +163,18 @@ def nystrom(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Squared hinge loss with an L2 penalty, by Newton steps; the last weight is the bias."""
-    x = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+    k = z.shape[1] + 1
+    w, ridge = np.zeros(k), np.eye(k)
     ridge[-1, -1] = 1e-6
     for _ in range(rounds):
-        on = y * (x @ w) < 1
-        xo, co = x[on], cost[on]
-        new = np.linalg.solve(ridge + (xo * co[:, None]).T @ xo, (xo * co[:, None]).T @ y[on])
+        left, right = ridge.copy(), np.zeros(k)
+        for i in range(0, len(z), 2000):
+            x = np.hstack([z[i : i + 2000], np.ones((len(z[i : i + 2000]), 1))])
+            on = y[i : i + 2000] * (x @ w) < 1
+            costly = x[on] * cost[i : i + 2000][on][:, None]
+            left += costly.T @ x[on]
+            right += costly.T @ y[i : i + 2000][on]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-6):
             break
         w = new
