@@ -5,11 +5,15 @@ texts at 0.8 share none with a probability of 5e-6, and less above. Balls around
 don't reach that far: at 0.8 two fingerprints of 64 bits are 10 bits apart on average, and blocks short
 enough to be near each other by chance are so short that strangers meet in them.
 
-Links come from pairs that share a band, whose sketches (four bits of each minimum) don't rule 0.8 out, and whose sets are
+Links come from pairs that share a band, whose parities and sketches (four bits of each minimum) don't rule 0.8 out, and whose sets are
 then compared whole, made anew from the two texts. In each of ``ROUNDS`` rounds a band has one pivot, a node of its largest component so far, and
 every node outside of that component is compared with the likest of its bands' pivots: a group of copies costs a pair for each node, whatever
-its size. What is left then is compared in full: the nodes outside of a band's largest component with those of all its other components whose sizes
-allow 0.8. So a large group of near copies meets those of its bands that are in no way like it, never itself.
+its size. The first pivots are the nodes that meet most others, so those that were edited least. What is left then is compared in full: the nodes
+outside of a band's largest component with those of all its other components whose sizes allow 0.8. So a large group of near copies meets those
+of its bands that are in no way like it, never itself; and of these meetings parities leave hardly more than those that are links.
+
+A set's parity has a bit for each of ``PARITY`` classes of hashes, set if the set has an odd number of the class. Where two parities differ the sets do, so
+sets differ in as many shingles as parities in bits, or in more: a pair that is ruled out by them isn't alike, with certainty.
 
 Texts of one shingle set are one node, and so are texts without words. Letters are compared without ASCII case.
 Null texts count as empty. Of rows with a null id, or rows that repeat one another, one stays as of any others.
@@ -36,6 +40,8 @@ LIKE, OF = 4, 5
 BANDS, ROWS = 40, 6
 #: Minima, each with four bits of the sketch. At 0.8 these differ in 45 of them on average, with a deviation of 6.
 MINIMA, MOST_APART = BANDS * ROWS, 75
+#: Bits of a parity.
+PARITY = 1024
 #: Rounds with one pivot for each band.
 ROUNDS = 2
 _A = np.array([xxhash.xxh32_intdigest(b"a%d" % i, SEED) | 1 for i in range(MINIMA)], np.uint32)[:, None]
@@ -65,7 +71,13 @@ def sketch_of(low: np.ndarray) -> np.ndarray:
     return (four[::2] << 4 | four[1::2]).view(np.int64)
 
 
-_COLS = ("_id", "_tie", "_fp", "_size", "_sketch", "_bands")
+def parity_of(hashes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits: of each class of hashes, whether the set has an odd number."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_COLS = ("_id", "_tie", "_fp", "_size", "_sketch", "_parity", "_bands")
 _LONGS = pa.list_(pa.int64())
 _PRINTS = pa.schema([*((c, pa.int64()) for c in _COLS[:4]), *((c, _LONGS) for c in _COLS[4:])])
 _PRINTS_SQL = ", ".join([*(f"{c} long" for c in _COLS[:4]), *(f"{c} array<long>" for c in _COLS[4:])])
@@ -83,9 +95,10 @@ def prints_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
                     s = shingle_set(t or "", shingle)
                     low = minima(s)
                     bands = np.array(bands_of(low) if len(s) else [], np.uint64).view(np.int64)
-                    rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), sketch_of(low), bands))
+                    rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), sketch_of(low), parity_of(s), bands))
                 fps, sizes, *lists = zip(*rows, strict=True)
-                cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *(pa.array(c, _LONGS) for c in lists)]
+                longs = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fps, sizes))
+                cols = [*longs, *(pa.array(c, _LONGS) for c in lists)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *cols], schema=_PRINTS)
 
     return docs.select(column(docs, id_col).cast("long"), text_hash(docs, text_col), column(docs, text_col)).mapInArrow(run, _PRINTS_SQL)
@@ -99,7 +112,10 @@ def _apart(a: str, b: str) -> Column:
 
 
 def _may_be_like(a: str, b: str) -> Column:
-    return F.expr(f"{OF} * least({a}._size, {b}._size) >= {LIKE} * greatest({a}._size, {b}._size)") & (_apart(a, b) <= MOST_APART)
+    sizes = F.expr(f"{OF} * least({a}._size, {b}._size) >= {LIKE} * greatest({a}._size, {b}._size)")
+    # at a similarity of 0.8 sets differ in a ninth of their sizes' sum
+    differ = " + ".join(f"bit_count({a}._parity[{i}] ^ {b}._parity[{i}])" for i in range(PARITY // 64))
+    return sizes & F.expr(f"{OF + LIKE} * ({differ}) <= {OF - LIKE} * ({a}._size + {b}._size)") & (_apart(a, b) <= MOST_APART)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -138,32 +154,42 @@ def _rooted(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _mixed(placed: DataFrame, seed: int) -> DataFrame:
-    """_band, _big, _pivot of bands (of rows _band, _fp, root) that hold several components: the root of the largest one, and a node of it."""
-    held = placed.groupBy("_band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("_fp", F.lit(seed)).alias("h"), "_fp")).alias("p"))
-    most = F.max(F.struct("n", F.xxhash64("root", F.lit(seed)).alias("h"), "root", F.col("p._fp").alias("pivot"))).alias("m")
+    """_band, _big, _pivot of bands (of rows _band, _fp, _meets, root) that hold several components: the root of the largest one, and a node of it:
+    with seed 0 the one that meets most others, else any."""
+    first = F.col("_meets") if seed == 0 else F.lit(0).cast("long")
+    held = placed.groupBy("_band", "root").agg(F.count("*").alias("n"), F.max(F.struct(first.alias("first"), F.xxhash64("_fp", F.lit(seed)).alias("h"), "_fp")).alias("p"))
+    most = F.max(F.struct("n", "p.first", F.xxhash64("root", F.lit(seed)).alias("h"), "root", F.col("p._fp").alias("pivot"))).alias("m")
     return held.groupBy("_band").agg(most, F.count("*").alias("k")).where("k > 1").select("_band", F.col("m.root").alias("_big"), F.col("m.pivot").alias("_pivot"))
 
 
+def _near(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """u, v, n (in how many minima they differ) of ``pairs`` (u, v) that may be alike."""
+    a, b = (attributes.select(F.col("_fp").alias(c), "_size", "_sketch", "_parity").alias(c) for c in ("u", "v"))
+    both = pairs.alias("p").join(a, F.col("p.u") == F.col("u.u")).join(b, F.col("p.v") == F.col("v.v"))
+    return both.where(_may_be_like("u", "v")).select("p.u", "p.v", _apart("u", "v").alias("n"))
+
+
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int) -> DataFrame:
     """u, v: pairs of ``nodes`` that are alike; enough of them to connect all that share a band. texts_of: _fp, _text of the nodes (_fp) it is given."""
     entries = nodes.select("_fp", F.explode("_bands").alias("_band"))
-    shared = entries.groupBy("_band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = entries.groupBy("_band").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(entries.join(shared, "_band"), "met")
-    attributes = materialize(nodes.select("_fp", "_size", "_sketch").join(met.select("_fp").distinct(), "_fp", "left_semi"), "attributes")
+    meets = met.groupBy("_fp").agg(F.sum("n").alias("_meets"))
+    attributes = materialize(nodes.select("_fp", "_size", "_sketch", "_parity").join(meets, "_fp"), "attributes")
     texts = materialize(texts_of(attributes.select("_fp")), "texts")
+    met, banded = met.drop("n"), attributes.select("_fp", "_meets")
     found: DataFrame | None = None
     for i in range(ROUNDS):
-        placed = materialize(met.join(_rooted(attributes.select("_fp"), found), "_fp"), "placed")
-        outside = placed.join(_mixed(placed, i), "_band").where("root <> _big").select("_fp", "_pivot").distinct()
-        near = outside.join(attributes, "_fp").alias("a").join(attributes.withColumnRenamed("_fp", "_other").alias("b"), F.col("_pivot") == F.col("_other")).where(_may_be_like("a", "b"))
-        likest = near.groupBy("a._fp").agg(F.min(F.struct(_apart("a", "b").alias("n"), "_pivot")).alias("p"))
-        pairs = materialize(likest.select(F.col("p._pivot").alias("u"), F.col("_fp").alias("v")), "pairs")
-        new = materialize(verified(pairs, texts, shingle), "links")
+        placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
+        outside = placed.join(_mixed(placed, i), "_band").where("root <> _big").select(F.col("_pivot").alias("u"), F.col("_fp").alias("v")).distinct()
+        likest = _near(outside, attributes).groupBy("v").agg(F.min(F.struct("n", "u")).alias("p")).select("p.u", "v")
+        new = materialize(verified(materialize(likest, "pairs"), texts, shingle), "links")
         found = new if found is None else found.unionByName(new)
-    placed = materialize(met.join(_rooted(attributes, found), "_fp"), "placed")
+    placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
     # sizes of sets that are alike are a factor of 1.25 apart at most, and so are in one class or in neighbouring ones
     size_class = F.floor(F.log(F.col("_size").cast("double")) / F.log(F.lit(1.001 * OF / LIKE)))
-    mixed = materialize(placed.join(_mixed(placed, 0).drop("_pivot"), "_band").withColumn("_class", size_class), "mixed")
+    several = placed.join(_mixed(placed, 0), "_band").select("_band", "_fp", "root", "_big")
+    mixed = materialize(several.join(attributes.drop("_meets"), "_fp").withColumn("_class", size_class), "mixed")
     small = mixed.where("root <> _big").withColumn("_class", F.explode(F.expr("array(_class - 1, _class, _class + 1)")))
     a, b = small.alias("a"), mixed.alias("b")
     meet = (F.col("a._band") == F.col("b._band")) & (F.col("a._class") == F.col("b._class")) & (F.col("a.root") != F.col("b.root"))
@@ -177,7 +203,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc
     prints = materialize(prints_of(docs, shingle, id_col, text_col), "prints")
     # nulls last: their flag is the first of the order
     order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")
-    nodes = materialize(prints.groupBy("_fp").agg(F.min(order).alias("_least"), *(F.first(c).alias(c) for c in ("_size", "_sketch", "_bands"))), "nodes")
+    nodes = materialize(prints.groupBy("_fp").agg(F.min(order).alias("_least"), *(F.first(c).alias(c) for c in ("_size", "_sketch", "_parity", "_bands"))), "nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """Each node's text is that of its least row. Texts are dealt by row, so that a node of many rows is none of many texts."""

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from siltstone.llm import near_copies
 from tests.llm.cases import TEXTS, documents
@@ -64,3 +66,22 @@ def test_odd_documents(spark):
     assert sorted(x["doc_id"] for x in got.collect()) == brute_kept(rows)
     assert near_copies.drop_near_copies(documents(spark, [])).count() == 0
     assert near_copies.drop_near_copies(documents(spark, [(None, None)] * 5)).count() == 1
+
+
+def test_pairs_below_the_threshold_dont_meet(spark):
+    """Copies of one text with two words of their own each are at 0.76 to one another: sketches leave all pairs, parities only those that are alike."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in r.sample(range(5, 145), 2):
+            words[k] = f"own{i}at{k}"
+        texts.append(" ".join(words))
+    sets = [brute_set(t) for t in texts]
+    like = {(i, j) for i in range(60) for j in range(i + 1, 60) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+    prints = near_copies.prints_of(documents(spark, list(enumerate(texts))), 5, "doc_id", "text").cache()
+    met = prints.alias("a").join(prints.alias("b"), F.col("a._id") < F.col("b._id")).where(near_copies._may_be_like("a", "b"))
+    got = {(x[0], x[1]) for x in met.select("a._id", "b._id").collect()}
+    assert like <= got
+    assert len(got) < len(like) + 150 < 1000
