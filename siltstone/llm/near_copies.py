@@ -1,11 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
-Candidates share a band: the hash of ``ROWS`` minima of the set under as many hash functions. Of 40 bands two
-texts at 0.8 share none with a probability of 5e-6, and less above. Balls around SimHash fingerprints
-don't reach that far: at 0.8 two fingerprints of 64 bits are 10 bits apart on average, and blocks short
-enough to be near each other by chance are so short that strangers meet in them.
+Candidates come from two sides. Sets whose SimHash fingerprints are 3 bits apart at most meet in balls, as in ``simhash``, and are linked
+to the centre of their ball. That alone doesn't reach far enough: at 0.8 two fingerprints of 64 bits are 10 bits apart on average. So
+candidates are also those that share a band: the hash of ``ROWS`` minima of the set under as many hash functions. Of 40 bands two
+texts at 0.8 share none with a probability of 5e-6, and less above.
 
-Links come from pairs that share a band, whose parities and sketches (four bits of each minimum) don't rule 0.8 out, and whose sets are
+Links are candidates whose parities and sketches (four bits of each minimum) don't rule 0.8 out, and whose sets are
 then compared whole, made anew from the two texts. In each of ``ROUNDS`` rounds a band has one pivot, a node of its largest component so far, and
 every node outside of that component is compared with the likest of its bands' pivots: a group of copies costs a pair for each node, whatever
 its size. The first pivots are the nodes that meet most others, so those that were edited least. What is left then is compared in full: the nodes
@@ -29,8 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm import simhash
 from siltstone.llm.graph import components
-from siltstone.llm.simhash import SEED, keep_least, shingles_of, text_hash
+from siltstone.llm.simhash import SEED, keep_least, majority, shingles_of, text_hash
 from siltstone.llm.texts import blocks_of
 from siltstone.session import column, materialize, ship
 
@@ -77,14 +78,14 @@ def parity_of(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-_COLS = ("_id", "_tie", "_fp", "_size", "_sketch", "_parity", "_bands")
+_COLS = ("_id", "_tie", "_fp", "_size", "_sim", "_sketch", "_parity", "_bands")
 _LONGS = pa.list_(pa.int64())
-_PRINTS = pa.schema([*((c, pa.int64()) for c in _COLS[:4]), *((c, _LONGS) for c in _COLS[4:])])
-_PRINTS_SQL = ", ".join([*(f"{c} long" for c in _COLS[:4]), *(f"{c} array<long>" for c in _COLS[4:])])
+_PRINTS = pa.schema([*((c, pa.int64()) for c in _COLS[:5]), *((c, _LONGS) for c in _COLS[5:])])
+_PRINTS_SQL = ", ".join([*(f"{c} long" for c in _COLS[:5]), *(f"{c} array<long>" for c in _COLS[5:])])
 
 
 def prints_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """_id, _tie (hash of the text), _fp (of the set) and the signatures of each row. One pass, no shuffle."""
+    """_id, _tie (hash of the text), _fp (of the set), _sim (SimHash of the set) and the signatures of each row. One pass, no shuffle."""
     ship(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +96,9 @@ def prints_of(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> Data
                     s = shingle_set(t or "", shingle)
                     low = minima(s)
                     bands = np.array(bands_of(low) if len(s) else [], np.uint64).view(np.int64)
-                    rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), sketch_of(low), parity_of(s), bands))
-                fps, sizes, *lists = zip(*rows, strict=True)
-                longs = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fps, sizes))
+                    rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), len(s), majority(s), sketch_of(low), parity_of(s), bands))
+                fps, sizes, sims, *lists = zip(*rows, strict=True)
+                longs = (pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fps, sizes, sims))
                 cols = [*longs, *(pa.array(c, _LONGS) for c in lists)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *cols], schema=_PRINTS)
 
@@ -162,6 +163,17 @@ def _mixed(placed: DataFrame, seed: int) -> DataFrame:
     return held.groupBy("_band").agg(most, F.count("*").alias("k")).where("k > 1").select("_band", F.col("m.root").alias("_big"), F.col("m.pivot").alias("_pivot"))
 
 
+def in_balls(nodes: DataFrame) -> DataFrame:
+    """u, v: pairs of ``nodes`` (_fp, _sim) with fingerprints 3 bits apart at most; enough of them to connect all such. Nodes of one fingerprint are
+    a star around their least, and that stands for them in the balls."""
+    least = materialize(nodes.groupBy("_sim").agg(F.min("_fp").alias("_least")), "least")
+    met = simhash.links(least.select(F.col("_sim").alias("_fp")))
+    of = {c: least.select(F.col("_sim").alias(c), F.col("_least").alias(f"{c}_fp")) for c in ("u", "v")}
+    across = met.join(of["u"], "u").join(of["v"], "v").select(F.col("u_fp").alias("u"), F.col("v_fp").alias("v"))
+    same = nodes.select("_fp", "_sim").join(least, "_sim").where("_fp <> _least").select(F.col("_least").alias("u"), F.col("_fp").alias("v"))
+    return materialize(across.unionByName(same), "balls")
+
+
 def _near(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
     """u, v, n (in how many minima they differ) of ``pairs`` (u, v) that may be alike."""
     a, b = (attributes.select(F.col("_fp").alias(c), "_size", "_sketch", "_parity").alias(c) for c in ("u", "v"))
@@ -170,19 +182,23 @@ def _near(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int) -> DataFrame:
-    """u, v: pairs of ``nodes`` that are alike; enough of them to connect all that share a band. texts_of: _fp, _text of the nodes (_fp) it is given."""
+    """u, v: pairs of ``nodes`` that are alike; enough of them to connect all that share a band, and those of balls. texts_of: _fp, _text of the nodes (_fp) it is given."""
+    balls = in_balls(nodes)
     entries = nodes.select("_fp", F.explode("_bands").alias("_band"))
     shared = entries.groupBy("_band").agg(F.count("*").alias("n")).where("n > 1")
     met = materialize(entries.join(shared, "_band"), "met")
     meets = met.groupBy("_fp").agg(F.sum("n").alias("_meets"))
-    attributes = materialize(nodes.select("_fp", "_size", "_sketch", "_parity").join(meets, "_fp"), "attributes")
+    some = meets.select("_fp").unionByName(balls.select(F.col("u").alias("_fp"))).unionByName(balls.select(F.col("v").alias("_fp"))).distinct()
+    attributes = materialize(nodes.select("_fp", "_size", "_sketch", "_parity").join(some, "_fp", "left_semi").join(meets, "_fp", "left"), "attributes")
     texts = materialize(texts_of(attributes.select("_fp")), "texts")
-    met, banded = met.drop("n"), attributes.select("_fp", "_meets")
+    met, banded = met.drop("n"), attributes.where("_meets is not null").select("_fp", "_meets")
     found: DataFrame | None = None
     for i in range(ROUNDS):
         placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
         outside = placed.join(_mixed(placed, i), "_band").where("root <> _big").select(F.col("_pivot").alias("u"), F.col("_fp").alias("v")).distinct()
         likest = _near(outside, attributes).groupBy("v").agg(F.min(F.struct("n", "u")).alias("p")).select("p.u", "v")
+        if found is None:
+            likest = likest.unionByName(_near(balls, attributes).select("u", "v")).distinct()
         new = materialize(verified(materialize(likest, "pairs"), texts, shingle), "links")
         found = new if found is None else found.unionByName(new)
     placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
@@ -203,7 +219,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc
     prints = materialize(prints_of(docs, shingle, id_col, text_col), "prints")
     # nulls last: their flag is the first of the order
     order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_tie")
-    nodes = materialize(prints.groupBy("_fp").agg(F.min(order).alias("_least"), *(F.first(c).alias(c) for c in ("_size", "_sketch", "_parity", "_bands"))), "nodes")
+    nodes = materialize(prints.groupBy("_fp").agg(F.min(order).alias("_least"), *(F.first(c).alias(c) for c in ("_size", "_sim", "_sketch", "_parity", "_bands"))), "nodes")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """Each node's text is that of its least row. Texts are dealt by row, so that a node of many rows is none of many texts."""

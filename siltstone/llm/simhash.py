@@ -47,7 +47,11 @@ def shingles_of(text: str, shingle: int) -> Iterable[bytes]:
 def simhash(text: str, shingle: int = SHINGLE) -> int:
     """Unsigned; a bit is set if it is set in over half of the shingles' hashes."""
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles_of(text, shingle)), np.uint64)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles_of(text, shingle)), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned; a bit is set if it is set in over half of ``hashes``."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):  # of very long texts not all bits at once
         ones += np.unpackbits(hashes[a : a + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)

@@ -85,3 +85,33 @@ def test_pairs_below_the_threshold_dont_meet(spark):
     got = {(x[0], x[1]) for x in met.select("a._id", "b._id").collect()}
     assert like <= got
     assert len(got) < len(like) + 150 < 1000
+
+
+def test_balls_link_without_bands(spark):
+    """Sets whose SimHash fingerprints are 3 bits apart at most are linked by their balls alone, where they are alike."""
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join([*base[:k], f"own{k}", *base[k + 1 :]]) for k in range(20, 1500, 100)] + [" ".join(f"{c}{i}" for i in range(1500)) for c in "abcdef"]
+    held = {}
+    for t in texts:
+        s = near_copies.shingle_set(t)
+        bits = sum((2 * sum(int(h) >> i & 1 for h in s) > len(s)) << i for i in range(64))
+        held[bits, s.tobytes()] = t
+    group = {t: t for t in texts}
+    for (a, _), t in held.items():
+        for (b, _), o in held.items():
+            if (a ^ b).bit_count() <= 3 and group[t] != group[o]:
+                old, new = group[t], group[o]
+                group = {k: new if g == old else g for k, g in group.items()}
+    want = sorted(sorted(t for t in texts if group[t] == g) for g in set(group.values()))
+    assert any(len(g) > 3 for g in want) and any(len(g) == 1 for g in want)
+    nodes = near_copies.prints_of(documents(spark, list(enumerate(texts))), 5, "doc_id", "text").withColumn("_bands", F.expr("cast(array() as array<long>)"))
+    nodes = spark.createDataFrame(nodes.collect(), nodes.schema)
+    of = spark.createDataFrame(list(enumerate(texts)), "_id long, _text string").join(nodes, "_id").select("_fp", "_text")
+    fps = {x["_fp"]: x["_text"] for x in of.collect()}
+    found = near_copies.links(nodes, lambda some: of.join(some, "_fp"), 5).collect()
+    got = {t: t for t in texts}
+    for u, v in found:
+        old, new = got[fps[u]], got[fps[v]]
+        got = {k: new if g == old else g for k, g in got.items()}
+    assert sorted(sorted(t for t in texts if got[t] == g) for g in set(got.values())) == want
