@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import simhash
-from siltstone.llm.graph import components
+from siltstone.llm.graph import stars
 from siltstone.llm.simhash import SEED, keep_least, majority, shingles_of, text_hash
 from siltstone.llm.texts import blocks_of
 from siltstone.session import column, materialize, ship
@@ -147,11 +147,11 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return both.select("u", "v", "_t", "_s").mapInArrow(run, "u long, v long")
 
 
-def _rooted(nodes: DataFrame, links: DataFrame | None) -> DataFrame:
-    """nodes with the root of each's component so far, itself if it has no links."""
-    if links is None:
+def _rooted(nodes: DataFrame, linked: DataFrame | None) -> DataFrame:
+    """nodes with the root of each's component so far (the v of its u in ``linked``), itself if it has no other."""
+    if linked is None:
         return nodes.withColumn("root", F.col("_fp"))
-    return nodes.join(components(links).withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
+    return nodes.join(linked.select(F.col("u").alias("_fp"), F.col("v").alias("root")), "_fp", "left").withColumn("root", F.coalesce("root", "_fp"))
 
 
 def _mixed(placed: DataFrame, seed: int) -> DataFrame:
@@ -182,7 +182,8 @@ def _near(pairs: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle: int) -> DataFrame:
-    """u, v: pairs of ``nodes`` that are alike; enough of them to connect all that share a band, and those of balls. texts_of: _fp, _text of the nodes (_fp) it is given."""
+    """u, v: links of ``nodes`` that connect all pairs which are alike and share a band or a ball: those of the last comparison, and of each component
+    before that its nodes to its least one. texts_of: _fp, _text of the nodes (_fp) it is given."""
     balls = in_balls(nodes)
     entries = nodes.select("_fp", F.explode("_bands").alias("_band"))
     shared = entries.groupBy("_band").agg(F.count("*").alias("n")).where("n > 1")
@@ -192,16 +193,16 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
     attributes = materialize(nodes.select("_fp", "_size", "_sketch", "_parity").join(some, "_fp", "left_semi").join(meets, "_fp", "left"), "attributes")
     texts = materialize(texts_of(attributes.select("_fp")), "texts")
     met, banded = met.drop("n"), attributes.where("_meets is not null").select("_fp", "_meets")
-    found: DataFrame | None = None
+    linked: DataFrame | None = None
     for i in range(ROUNDS):
-        placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
+        placed = materialize(met.join(_rooted(banded, linked), "_fp"), "placed")
         outside = placed.join(_mixed(placed, i), "_band").where("root <> _big").select(F.col("_pivot").alias("u"), F.col("_fp").alias("v")).distinct()
         likest = _near(outside, attributes).groupBy("v").agg(F.min(F.struct("n", "u")).alias("p")).select("p.u", "v")
-        if found is None:
+        if linked is None:
             likest = likest.unionByName(_near(balls, attributes).select("u", "v")).distinct()
-        new = materialize(verified(materialize(likest, "pairs"), texts, shingle), "links")
-        found = new if found is None else found.unionByName(new)
-    placed = materialize(met.join(_rooted(banded, found), "_fp"), "placed")
+        new = verified(materialize(likest, "pairs"), texts, shingle)
+        linked = stars(new if linked is None else linked.unionByName(new))
+    placed = materialize(met.join(_rooted(banded, linked), "_fp"), "placed")
     # sizes of sets that are alike are a factor of 1.25 apart at most, and so are in one class or in neighbouring ones
     size_class = F.floor(F.log(F.col("_size").cast("double")) / F.log(F.lit(1.001 * OF / LIKE)))
     several = placed.join(_mixed(placed, 0), "_band").select("_band", "_fp", "root", "_big")
@@ -211,7 +212,7 @@ def links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], shingle:
     meet = (F.col("a._band") == F.col("b._band")) & (F.col("a._class") == F.col("b._class")) & (F.col("a.root") != F.col("b.root"))
     rest = a.join(b, meet & ((F.col("b.root") == F.col("b._big")) | (F.col("a._fp") < F.col("b._fp"))) & _may_be_like("a", "b"))
     rest = rest.select(F.least("a._fp", "b._fp").alias("u"), F.greatest("a._fp", "b._fp").alias("v")).distinct()
-    return found.unionByName(verified(materialize(rest, "pairs"), texts, shingle))
+    return linked.unionByName(verified(materialize(rest, "pairs"), texts, shingle))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,5 +229,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc
         found = materialize(whole.join(rows, ["_row", "_tie"]).select("_fp", "_text"), "found")  # written: else Spark can't split a row that is repeated often
         return found.dropDuplicates(["_fp"])
 
-    linked = materialize(components(links(nodes, texts_of, shingle)).withColumnRenamed("node", "_fp"), "components")
+    linked = stars(links(nodes, texts_of, shingle)).select(F.col("u").alias("_fp"), F.col("v").alias("root"))
     return keep_least(docs, nodes.select("_fp", "_least"), linked, id_col, text_col)

@@ -311,6 +311,9 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_MODEL = pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("logistic", pa.list_(pa.float64()))])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """Fits on at most ``sample`` labelled rows of each class which are not held out."""
     ship(docs.sparkSession)
@@ -336,11 +339,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
             words = [sorted(set(words_of(t))) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.list_(pa.string()))], names=["_id", "_toxic", "_words"])
 
-    bags = drawn_texts.drop("_toxic").join(chosen, "_id").select("_id", "_toxic", "_text").mapInArrow(distinct_words, "_id long, _toxic int, _words array<string>").toArrow().sort_by("_id")
-    split: tuple[list, list] = ([], [])
-    for toxic, words in zip(bags["_toxic"].to_pylist(), bags["_words"].to_pylist(), strict=True):
-        split[toxic <= 0].append(words)
-    return fit(*split)
+    def learnt(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        split: tuple[list, list] = ([], [])
+        for _, toxic, words in sorted(rows):
+            split[toxic <= 0].append(words)
+        if model := fit(*split):
+            yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "logistic": model.logistic.tolist()}], _MODEL)
+
+    # the sample is bounded, and one task fits the model: the driver gets the weights only
+    bags = drawn_texts.drop("_toxic").join(chosen, "_id").select("_id", "_toxic", "_text").mapInArrow(distinct_words, "_id long, _toxic int, _words array<string>")
+    got = bags.repartition(1).mapInArrow(learnt, "weights binary, bias double, logistic array<double>").collect()
+    return Model(np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"], np.array(got[0]["logistic"])) if got else None
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siltstone.llm import near_copies
+from siltstone.llm.graph import components
 from tests.llm.cases import TEXTS, documents
 
 
@@ -115,3 +116,25 @@ def test_balls_link_without_bands(spark):
         old, new = got[fps[u]], got[fps[v]]
         got = {k: new if g == old else g for k, g in got.items()}
     assert sorted(sorted(t for t in texts if got[t] == g) for g in set(got.values())) == want
+
+
+def test_components_take_few_tasks(spark):
+    """The driver keeps what it knows of each task: a round of components needs few of them, and repeated links change nothing."""
+    chains = [(100 * c + i + 1, 100 * c + i) for c in range(40) for i in range(c % 7 + 1)]
+    want = {n: 100 * (n // 100) for link in chains for n in link}
+    links = spark.createDataFrame(chains + [(v, u) for u, v in chains] + [(u, u) for u, _ in chains], "u long, v long")
+    tracker = spark.sparkContext.statusTracker()
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        before = set(tracker.getJobIdsForGroup(None))
+        got = {x["node"]: x["root"] for x in components(links).collect()}
+        jobs = set(tracker.getJobIdsForGroup(None)) - before
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want
+    tasks = sum(tracker.getStageInfo(s).numCompletedTasks for j in jobs for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s))
+    assert 0 < tasks < 1000

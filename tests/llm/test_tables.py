@@ -1,5 +1,6 @@
 """URL filter, preferences, toxicity, the pipeline and the entry points."""
 
+import os
 import random
 
 import duckdb
@@ -191,6 +192,15 @@ def test_repeated_ids_give_one_model(spark):
     assert np.array_equal(one.weights, two.weights) and np.array_equal(one.logistic, two.logistic)
 
 
+def test_driver_does_not_fit_the_model(spark, monkeypatch):
+    """What a fit holds in memory is a task's: the driver gets the model alone."""
+    docs, labels = labelled(spark, 120)
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, clean: toxicity.Model(np.ones(4, np.float32), float(os.getpid()), np.array([1.0, 2.0, 3.0])))
+    model = toxicity.train(docs, labels)
+    assert model.bias != os.getpid()
+    assert model.weights.tolist() == [1.0] * 4 and model.weights.dtype == np.float32 and model.logistic.tolist() == [1.0, 2.0, 3.0]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.train(docs, labels)
