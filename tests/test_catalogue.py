@@ -33,6 +33,15 @@ def test_queries_without_sql_run(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["one_hop"])
+def test_graph_queries_make_no_pairs(spark, sf, monkeypatch, name):
+    def pairs(*_):
+        raise AssertionError("pairs of a common name grow with the square of the documents")
+
+    monkeypatch.setattr(catalogue.graph, "build_edges", pairs)
+    assert catalogue.QUERIES[name](spark, sf).count() > 0
+
+
 def test_entry_points(spark):
     assert entry.entry(spark).count() == 10
     assert entry.oracle_sql().keys() <= entry.queries().keys()
