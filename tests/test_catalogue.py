@@ -33,7 +33,7 @@ def test_queries_without_sql_run(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
-@pytest.mark.parametrize("name", ["one_hop", "pagerank"])
+@pytest.mark.parametrize("name", ["one_hop", "pagerank", "related"])
 def test_graph_queries_make_no_pairs(spark, sf, monkeypatch, name):
     def pairs(*_):
         raise AssertionError("pairs of a common name grow with the square of the documents")
