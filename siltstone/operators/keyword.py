@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -83,27 +84,41 @@ def scan(rows: DataFrame, query: str, columns: tuple[str, ...] = ("text",), into
     return held.withColumn(into, _score(F.col(names[0]), [F.col(n) for n in names[1:]], corpus)).drop(*names)
 
 
-def postings(rows: DataFrame, id_col: str, columns: tuple[str, ...]) -> DataFrame:
-    """term, id, size (of the row, in terms), places: no shuffle, a row's terms are grouped where it is."""
+def postings(rows: DataFrame, id_col: str, columns: tuple[str, ...], keep: tuple[str, ...] = ()) -> DataFrame:
+    """term, id, size (of the row, in terms), places, and the integer columns ``keep``: no shuffle, a row's terms are grouped where it is."""
     ship(rows.sparkSession)
-    schema = pa.schema([("term", pa.string()), ("id", pa.string()), ("size", pa.int64()), ("places", pa.list_(pa.int64()))])
+    n_kept = len(keep)
 
     def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                places: dict[str, list[int]] = {}
-                size = 0
-                for c in range(1, b.num_columns):
-                    terms = b.column(c)[i].as_py()
-                    size += len(terms)
-                    for at, t in enumerate(terms, GAP * c):
-                        places.setdefault(t, []).append(at)
-                n, name = len(places), b.column(0)[i].as_py()
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(places)), pa.array([name] * n), pa.array([size] * n, pa.int64()), pa.array(list(places.values()), pa.list_(pa.int64()))], schema=schema)
+            # a batch at a time: all terms as numbers, sorted by row, then term, then place
+            row, place, words = [], [], []
+            for c in range(1 + n_kept, b.num_columns):
+                col = b.column(c)
+                n = np.diff(col.offsets.to_numpy())
+                row.append(np.repeat(np.arange(b.num_rows), n))
+                place.append(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + GAP * (c - n_kept))
+                words.append(col.flatten())
+            coded = pa.concat_arrays(words).dictionary_encode()
+            row, place, code = np.concatenate(row), np.concatenate(place), coded.indices.to_numpy()
+            if not len(row):
+                continue
+            order = np.lexsort((place, code, row))
+            row, place, code = row[order], place[order], code[order]
+            first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(code) != 0)])
+            whose = row[first]
+            at = pa.array(whose)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    coded.dictionary.take(pa.array(code[first])), b.column(0).take(at), pa.array(np.bincount(row, minlength=b.num_rows)[whose], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.r_[first, len(place)], pa.int32()), pa.array(place, pa.int64())), *(b.column(1 + i).take(at) for i in range(n_kept)),
+                ],
+                names=["term", "id", "size", "places", *keep],
+            )
 
     terms = [search_terms(F.coalesce(F.col(c), F.lit(""))).alias(f"c{i}") for i, c in enumerate(columns)]
-    return rows.select(F.col(id_col).cast("string").alias("id"), *terms).mapInArrow(group, "term string, id string, size long, places array<long>")
+    kept = "".join(f", {c} int" for c in keep)
+    return rows.select(F.col(id_col).cast("string").alias("id"), *keep, *terms).mapInArrow(group, f"term string, id string, size long, places array<long>{kept}")
 
 
 def _back(places: str, k: int) -> Column:

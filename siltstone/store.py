@@ -15,8 +15,9 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -46,10 +47,23 @@ def scope_of(repo_root: str, branch: str) -> str:
     return json.dumps([repo_root, branch])
 
 
+def _binary(df: DataFrame) -> DataFrame:
+    """Hashes as bytes while rows are shuffled: half of the hexadecimal digits, which don't compress."""
+    return df.withColumn("content_hash", F.unhex("content_hash"))
+
+
+def _hexadecimal(df: DataFrame) -> DataFrame:
+    return df.withColumn("content_hash", F.lower(F.hex("content_hash")))
+
+
 def head_key(repo_root: str, branch: str) -> str:
     return f"head_commit:{repo_root}:{branch}"
 
 
+def _columns(df: DataFrame, name: str, *more: Column) -> DataFrame:
+    return df.select(*(c.split()[0] for c in SCHEMAS[name].split(", ")), *more)
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, path: str, dimensions: int):
         self.spark, self.path, self.dimensions = spark, path.rstrip("/"), dimensions
@@ -86,7 +100,13 @@ class IndexStore:
     def _write(self, df: DataFrame, name: str) -> str:
         """Writes a folder of a table; its name, to be put in the manifest."""
         part = f"{name}/{self.version + 1:012d}-{uuid.uuid4().hex[:12]}"
-        df.select(*(c.split()[0] for c in SCHEMAS[name].split(", "))).write.parquet(f"{self.path}/{part}")
+        _columns(df, name).write.option("compression", "zstd").parquet(f"{self.path}/{part}")
+        return part
+
+    def _write_by(self, df: DataFrame, name: str, key: str) -> str:
+        """The same with a folder ``scope=`` for each value of ``key``, in one job; df is sorted by it first, or will be."""
+        part = f"{name}/{self.version + 1:012d}-{uuid.uuid4().hex[:12]}"
+        _columns(df, name, F.col(key).alias("scope")).write.option("compression", "zstd").partitionBy("scope").parquet(f"{self.path}/{part}")
         return part
 
     def _parts(self, name: str, scopes: Iterable[str] | None = None) -> list[str]:
@@ -100,13 +120,14 @@ class IndexStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*parts)
 
-    def _replace(self, name: str, scope: str, df: DataFrame | None) -> Callable[[dict], None]:
-        part = None if df is None else self._write(df, name)
+    def _replace(self, name: str, scope: str, df: DataFrame | None, *more: str) -> Callable[[dict], None]:
+        """Rows of a scope, and folders that are written already."""
+        parts = ([] if df is None else [self._write(df, name)]) + [*more]
 
         def change(m: dict) -> None:
             m["parts"][name].pop(scope, None)
-            if part:
-                m["parts"][name][scope] = [part]
+            if parts:
+                m["parts"][name][scope] = parts
             if name == "chunks":  # its index is of other rows now
                 m["parts"]["postings"].pop(scope, None)
                 m["sizes"].pop(scope, None)
@@ -124,26 +145,33 @@ class IndexStore:
             raise StoreError(f"the store has vectors of {held[0]!r}: refusing to mix them with those of {model_id!r}")
 
     def _hashed(self, chunks: DataFrame) -> DataFrame:
-        """With ``_at``, the place of a row in its batch."""
-        return chunks.withColumns({"content_hash": T.content_hash(F.col("content")), "chunk_text": T.normalize_for_hash(F.col("content")), "_at": F.monotonically_increasing_id()})
+        """With ``_at``, the place of a row in its batch; chunks that have one keep it, so that nobody needs to sort them."""
+        at = F.col("_at") if "_at" in chunks.columns else F.monotonically_increasing_id()
+        return chunks.withColumns({"content_hash": T.content_hash(F.col("content")), "chunk_text": T.normalize_for_hash(F.col("content")), "_at": at})
 
     def _append_vectors(self, rows: DataFrame, model_id: str) -> Callable[[dict], None]:
         """rows: content_hash, chunk_text, embedding, _at. Hashes that the model has already stay as they are, and of rows with one hash the first counts; text-only ones give way to vectors."""
         there = self.read("embeddings").where(F.col("model_id") == model_id).select("content_hash")
-        once = rows.groupBy("content_hash").agg(F.min_by(F.struct("chunk_text", "embedding"), "_at").alias("r")).select("content_hash", "r.*")
+        once = _hexadecimal(_binary(rows).groupBy("content_hash").agg(F.min_by(F.struct("chunk_text", "embedding"), "_at").alias("r")).select("content_hash", "r.*"))
         new = once.join(there, "content_hash", "left_anti")
         part = self._write(new.select("*", F.lit(model_id).alias("model_id"), F.current_timestamp().alias("created_at"), F.lit(self.version + 1).cast("long").alias("seq")), "embeddings")
         return lambda m: m["parts"]["embeddings"].setdefault("", []).append(part)
 
     def _mapped(self, hashed: DataFrame) -> list[Callable[[dict], None]]:
-        """Upserts by file and index, scope by scope; of rows with one key in a batch the last one wins."""
-        keyed = hashed.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("_at"))))
-        new = materialize(keyed.where("_n = 1").drop("_n"), "batch")
+        """Upserts by file and index; of rows with one key in a batch the last one wins. All scopes of the batch are written by one job, rows that stay by one for each scope."""
+        own = _binary(_columns(hashed, "chunks", "_at")).withColumn("_scope", F.xxhash64("repo_root", "branch"))  # texts stay where they are
+        keyed = own.withColumn("_n", F.row_number().over(Window.partitionBy("_scope", *KEYS).orderBy(F.desc("_at"))))
+        part = self._write_by(_hexadecimal(keyed.where("_n = 1")), "chunks", "_scope")
+        new = self.spark.read.schema(f"{SCHEMAS['chunks']}, scope long").parquet(f"{self.path}/{part}")
+        scopes = new.select("scope", "repo_root", "branch").distinct().collect()  # the scopes of a batch
+        if len({r["scope"] for r in scopes}) < len(scopes):
+            raise StoreError("two scopes of a batch have one hash")
         changes = []
-        for r in new.select("repo_root", "branch").distinct().collect():  # the scopes of a batch
-            own = new.where((F.col("repo_root") == r[0]) & (F.col("branch") == r[1])).select(*(c.split()[0] for c in SCHEMAS["chunks"].split(", ")))
-            rest = self.read("chunks", r[0], r[1]).join(own.select(*KEYS), [*KEYS], "left_anti")
-            changes.append(self._replace("chunks", scope_of(r[0], r[1]), rest.select(*own.columns).unionByName(own)))
+        for n, root, branch in scopes:
+            rest = None
+            if self._parts("chunks", [scope_of(root, branch)]):
+                rest = self.read("chunks", root, branch).join(new.where(F.col("scope") == n).select(*KEYS), [*KEYS], "left_anti")
+            changes.append(self._replace("chunks", scope_of(root, branch), rest, f"{part}/scope={n}"))
         return changes
 
     def _all(self, changes: list[Callable[[dict], None]]) -> None:
@@ -188,7 +216,7 @@ class IndexStore:
 
     def prune_tails(self, repo_root: str, branch: str, counts: DataFrame, unseen_go: bool = False) -> None:
         """counts: file_path, n: a file keeps its first n chunks. unseen_go: files that aren't counted lose all."""
-        joined = self.read("chunks", repo_root, branch).join(counts.select("file_path", "n"), "file_path", "left")
+        joined = _hexadecimal(_binary(self.read("chunks", repo_root, branch)).join(counts.select("file_path", "n"), "file_path", "left"))
         self._all([self._replace("chunks", scope_of(repo_root, branch), joined.where(F.col("chunk_index") < F.coalesce("n", F.lit(0 if unseen_go else 1 << 31))))])
 
     def delete_branch(self, repo_root: str, branch: str) -> None:
@@ -246,14 +274,15 @@ class IndexStore:
         part = self._write(self.latest(), "embeddings")
         self._commit(lambda m: m["parts"]["embeddings"].__setitem__("", [part]))
 
-    def latest(self, hashes: DataFrame | None = None) -> DataFrame:
-        """The newest row of each hash (of ``hashes``, where they are given: others aren't grouped); one with a vector before one without."""
+    def latest(self, hashes: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
+        """The newest row of each hash (of ``hashes``, where they are given: others aren't grouped); one with a vector before one without. columns: those to bring along, else all."""
         rows = self.read("embeddings")
         if hashes is not None:
             rows = rows.join(hashes.select("content_hash").distinct(), "content_hash", "left_semi")
         newest = F.struct((F.col("model_id") != TEXT_ONLY).alias("v"), "seq")
-        picked = rows.groupBy("content_hash").agg(F.max_by(F.struct("model_id", "chunk_text", "embedding", "created_at", "seq"), newest).alias("r"))
-        return picked.select("content_hash", "r.*")
+        kept = [c for c in rows.columns if c != "content_hash"] if columns is None else columns
+        picked = _binary(rows).groupBy("content_hash").agg(F.max_by(F.struct(*kept), newest).alias("r"))
+        return _hexadecimal(picked.select("content_hash", "r.*"))
 
     def dead_ratio(self) -> float:
         """The share of vector rows that newer ones have superseded; 0 of an empty store."""
@@ -262,7 +291,7 @@ class IndexStore:
 
     def vacuum(self) -> int:
         """Removes folders that the current manifest doesn't name, and older manifests; how many folders went."""
-        named, gone = {p for by in self.manifest["parts"].values() for ps in by.values() for p in ps}, 0
+        named, gone = {"/".join(p.split("/")[:2]) for by in self.manifest["parts"].values() for ps in by.values() for p in ps}, 0
         for name in SCHEMAS:
             folder = self._fs_path(f"{self.path}/{name}")
             for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:
@@ -280,22 +309,26 @@ class IndexStore:
 
     def rebuild_keyword_index(self) -> None:
         """Postings of every scope that has none, sorted by term: a query's terms are found by the files' statistics."""
-        changes = []
-        for scope, parts in self.manifest["parts"]["chunks"].items():
-            if parts and scope not in self.manifest["sizes"]:
-                rows = self._searched(*json.loads(scope))
-                made = keyword.postings(rows, "_id", SEARCHED)
-                part = self._write(made.repartitionByRange("term").sortWithinPartitions("term"), "postings")
-                terms = F.size(T.search_terms(F.concat_ws(" ", *SEARCHED)))
-                n, size = rows.agg(F.count("*"), F.coalesce(F.sum(terms), F.lit(0))).first()
-                changes.append(lambda m, s=scope, p=part, n=n, size=size: (m["parts"]["postings"].__setitem__(s, [p]), m["sizes"].__setitem__(s, [n, size])) and None)
-        if changes:
-            self._all(changes)
+        scopes = [s for s, parts in self.manifest["parts"]["chunks"].items() if parts and s not in self.manifest["sizes"]]
+        if not scopes:
+            return
+        own = reduce(DataFrame.unionByName, (self.read("chunks", *json.loads(s)).withColumn("_scope", F.lit(i)) for i, s in enumerate(scopes)))
+        made = materialize(keyword.postings(self._with_texts(own), "_id", SEARCHED, ("_scope",)), "postings")  # so that ranges are cut without making them twice
+        part = self._write_by(made.repartitionByRange("_scope", "term", "id").sortWithinPartitions("_scope", "term"), "postings", "_scope")
+        rows = {r["_scope"]: r["count"] for r in own.groupBy("_scope").count().collect()}  # a row for each scope
+        terms = {r["_scope"]: r["n"] for r in made.groupBy("_scope").agg(F.sum(F.size("places")).alias("n")).collect()}  # a term's places are all there are of it
+
+        def change(m: dict) -> None:
+            for i, s in enumerate(scopes):
+                m["parts"]["postings"][s] = [f"{part}/scope={i}"] if i in terms else []
+                m["sizes"][s] = [rows.get(i, 0), terms.get(i, 0)]
+
+        self._commit(change)
 
     # Reads ----------------------------------------------------------------------------------------------
 
     def texts(self, hashes: DataFrame | None = None) -> DataFrame:
-        return self.latest(hashes).select("content_hash", "chunk_text")
+        return self.latest(hashes, ["chunk_text"])
 
     def all_chunks(self, repo_root: str | None = None, branch: str | None = None) -> DataFrame:
         """Chunks with ``content``, the newest text of their hash or an empty one; ordered by file and index."""
@@ -304,8 +337,10 @@ class IndexStore:
         return joined.orderBy("file_path", "chunk_index")
 
     def _searched(self, repo_root: str | None = None, branch: str | None = None) -> DataFrame:
-        key = F.to_json(F.struct(*(F.col(k).alias(k) for k in KEYS)))
-        return self.read("chunks", repo_root, branch).join(self.texts(), "content_hash", "left").withColumns({"chunk_text": F.coalesce("chunk_text", F.lit("")), "_id": key})
+        return self._with_texts(self.read("chunks", repo_root, branch))
+
+    def _with_texts(self, chunks: DataFrame) -> DataFrame:
+        return _keyed(chunks).join(self.texts(chunks), "content_hash", "left").withColumn("chunk_text", F.coalesce("chunk_text", F.lit("")))
 
     def has_hashes(self, hashes: DataFrame, model_id: str) -> DataFrame:
         """content_hash, there: of each distinct hash asked for."""
@@ -342,23 +377,24 @@ class IndexStore:
         if k > 0 and len(query) != self.dimensions:
             raise StoreError(f"the query has {len(query)} dimensions, the store {self.dimensions}")
         own = self.read("chunks", repo_root, branch)
-        held = self.latest(own).where(F.col("embedding").isNotNull())
-        best = vector.nearest(held.select("content_hash", "chunk_text", "embedding"), query, k, ties=("content_hash",), into="score")  # k hashes
-        hits = own.join(F.broadcast(best), "content_hash").withColumn("content", F.coalesce("chunk_text", F.lit("")))
-        return _ranked(hits, k)
+        held = self.latest(own, ["embedding"]).where(F.col("embedding").isNotNull())
+        best = vector.nearest(held, query, k, ties=("content_hash",), into="score")  # k hashes
+        return self._best(own.join(F.broadcast(best), "content_hash"), k)
+
+    def _best(self, hits: DataFrame, k: int) -> DataFrame:
+        """The ``k`` best of chunks with ``score``; only these are given their texts."""
+        best = materialize(_ranked(hits.withColumn("content", F.lit("")), k), "best")
+        texts = self.texts(F.broadcast(best.select("content_hash").distinct()))
+        return best.drop("content").join(F.broadcast(texts), "content_hash", "left").withColumn("content", F.coalesce("chunk_text", F.lit(""))).select(*RESULT, "score", "rank")
 
     def search_keyword(self, repo_root: str, branch: str, query: str, k: int) -> DataFrame:
         """Chunks of the scope that hold all phrases, with ``score`` (negative BM25, lower is better) and ``rank``. Statistics are of all scopes."""
-        scope = scope_of(repo_root, branch)
         sizes = self.manifest["sizes"]
         if set(sizes) == {s for s, p in self.manifest["parts"]["chunks"].items() if p} and sizes:
             n, total = (sum(x[i] for x in sizes.values()) for i in (0, 1))
             found = keyword.search_postings(self.read("postings"), n, total / max(n, 1), query)
-            if scope not in sizes:
-                return _ranked(self._searched(repo_root, branch).limit(0).withColumns({"score": F.lit(0.0), "content": F.lit("")}), k)
-            hits = self._searched(repo_root, branch).join(found.withColumnRenamed("id", "_id"), "_id")
-        else:
-            hits = keyword.scan(self._searched(), query, SEARCHED).where((F.col("repo_root") == repo_root) & (F.col("branch") == branch))
+            return self._best(_keyed(self.read("chunks", repo_root, branch)).join(found.withColumnRenamed("id", "_id"), "_id"), k)
+        hits = keyword.scan(self._searched(), query, SEARCHED).where((F.col("repo_root") == repo_root) & (F.col("branch") == branch))
         return _ranked(hits.withColumn("content", F.col("chunk_text")), k)
 
     def neighbours(self, repo_root: str, branch: str, hashes: DataFrame) -> DataFrame:
@@ -372,6 +408,10 @@ class IndexStore:
         return _ranked(self.all_chunks(repo_root, branch).join(scored, "content_hash"), n, best_first=True)
 
 
+def _keyed(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("_id", F.to_json(F.struct(*(F.col(k).alias(k) for k in KEYS))))
+
+
 def _ranked(hits: DataFrame, k: int, best_first: bool = False) -> DataFrame:
     order = (F.desc("score") if best_first else F.asc("score"), "content_hash", "file_path", "chunk_index")
     best = hits.select(*RESULT, "score").orderBy(*order).limit(max(k, 0))

@@ -6,9 +6,11 @@ import subprocess
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone import cli, doctor
 from siltstone.functions.embedders import HashingEmbedder
+from siltstone.operators import keyword
 from siltstone.plans import indexing, searching
 from siltstone.server import Server
 from siltstone.sources import repository
@@ -33,6 +35,43 @@ def axis(i):
     return [float(j == i) for j in range(4)]
 
 
+def folders(store, name):
+    return {p.split("/")[1] for ps in store.manifest["parts"][name].values() for p in ps}
+
+
+def test_scopes_of_a_batch_are_written_at_once(spark, store):
+    rows = [(b, f"f{i}.go", 0, f"v{i}", axis(i)) for b in ("a", "b", "") for i in range(3)]
+    store.upsert_text_only(chunks(spark, rows).drop("embedding"))
+    assert len(folders(store, "chunks")) == 1
+    store.upsert_text_only(chunks(spark, [("b", "f1.go", 0, "new", axis(0)), ("c", "f1.go", 0, "v9", axis(0))]).drop("embedding"))
+    got = {b: sorted((r["file_path"], r["content"]) for r in store.all_chunks("/r", b).collect()) for b in ("a", "b", "", "c")}
+    old = [(f"f{i}.go", f"v{i}") for i in range(3)]
+    assert got == {"a": old, "": old, "b": [old[0], ("f1.go", "new"), old[2]], "c": [("f1.go", "v9")]}
+    store.vacuum()
+    assert {b: store.count_chunks("/r", b) for b in got} == {"a": 3, "": 3, "b": 3, "c": 1}
+
+
+def test_chunks_keep_the_place_that_they_bring(spark, store):
+    rows = chunks(spark, [("a", "t.go", 0, f"v{i}", axis(i)) for i in range(3)]).withColumn("_at", -F.monotonically_increasing_id())
+    store.upsert_text_only(rows.drop("embedding"))
+    assert [r["content"] for r in store.all_chunks("/r", "a").collect()] == ["v0"]
+
+
+def test_postings_of_all_scopes_are_made_at_once(spark, store, monkeypatch):
+    store.upsert_text_only(chunks(spark, [(b, f"f{i}.go", 0, t, None) for b in ("a", "b") for i, t in enumerate(("alpha beta alpha", "beta", "--"))] + [("c", "x.go", 0, "--", None)]).drop("embedding"))
+    scanned = {b: [(r["file_path"], r["content"], r["score"]) for r in store.search_keyword("/r", b, "beta", 5).collect()] for b in ("a", "b", "c")}
+    made, postings = [], keyword.postings
+    monkeypatch.setattr(keyword, "postings", lambda *a: made.append(1) or postings(*a))
+    store.rebuild_keyword_index()
+    assert len(made) == 1 and len(folders(store, "postings")) == 1
+    assert {b: len(x) for b, x in scanned.items()} == {"a": 2, "b": 2, "c": 0}
+    for b, want in scanned.items():
+        got = [(r["file_path"], r["content"], r["score"]) for r in store.search_keyword("/r", b, "beta", 5).collect()]
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    store.vacuum()
+    assert store.search_keyword("/r", "a", "alpha", 5).count() == 1
+
+
 def test_upsert_and_dedup(spark, store):
     store.upsert_chunks(chunks(spark, [("a", "t.go", 0, "func alpha() {}", axis(0)), ("a", "t.go", 1, "func beta() {}", axis(1)), ("b", "t.go", 0, "func alpha() {}  \n", axis(2))]), "m")
     assert store.read("embeddings").count() == 2 and store.read("chunks").count() == 3 and store.count_chunks("/r", "a") == 2
