@@ -1,8 +1,8 @@
 """Exact nearest neighbours by cosine distance.
 
 Distances are computed in numpy over Arrow batches, in double precision. Queries go to the executors in
-blocks of ``BLOCK``; each batch keeps its own best ``k`` for each query before anything is shuffled, so
-what is shuffled is ``k`` rows for each query and batch, whatever the table's size.
+blocks of ``BLOCK`` and meet a few rows at once (``TILE``); each task keeps its own best ``k`` for each query
+before anything is shuffled, so what is shuffled is ``k`` rows for each query and task, whatever the table's size.
 
 A vector of length zero, or of another length than the query's, is at distance 1. Null vectors are none.
 """
@@ -22,6 +22,8 @@ from siltstone.session import ship
 
 #: Queries sent to the executors at once.
 BLOCK = 1024
+#: Distances that a task holds at once: 2 MB of doubles, and the like for a few steps of them.
+TILE = 1 << 18
 #: Distances are rounded to so many digits: equal vectors tie, wherever in a batch they stand.
 DIGITS = 9
 
@@ -42,9 +44,15 @@ def _matrix(vectors: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]
 def cosine_distances(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Rows by queries, between 0 and 2."""
     norm = np.sqrt((rows**2).sum(1))[:, None] * np.sqrt((queries**2).sum(1))[None, :]
+    d = rows @ queries.T  # what follows is done in place
     with np.errstate(divide="ignore", invalid="ignore"):
-        similar = np.clip(rows @ queries.T / norm, -1.0, 1.0)
-    return np.round(np.where(norm > 0, 1.0 - similar, 1.0), DIGITS) + 0.0
+        d /= norm
+    np.clip(d, -1.0, 1.0, out=d)
+    np.subtract(1.0, d, out=d)
+    d[~(norm > 0)] = 1.0
+    np.round(d, DIGITS, out=d)
+    d += 0.0
+    return d
 
 
 def distance_to(vector: Column, query: list[float]) -> Column:
@@ -66,11 +74,34 @@ def nearest(vectors: DataFrame, query: list[float], k: int, vector_col: str = "e
     return far.orderBy(into, *ties).limit(max(k, 0))
 
 
+def best_of_batches(batches: Iterable[pa.RecordBatch], names: np.ndarray, wanted: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """query_id, id, distance: for each query (its id and its vector) the ``k`` nearest of all rows (id, vector) of the batches; ties by id."""
+    step = max(TILE // len(names), 1)
+    none = np.zeros(0, np.int64)
+    whose, own, far = none, none, np.zeros(0)  # the best so far: at most k of each query
+    for b in batches:
+        for a in range(0, b.num_rows, step):
+            part = b.slice(a, step)
+            ids, (m, right) = part.column(0).to_numpy(), _matrix(part.column(1), wanted.shape[1])
+            d = cosine_distances(m, wanted)
+            d[~right] = 1.0
+            if len(d) > k:
+                at, q = np.nonzero(d <= np.partition(d, k - 1, axis=0)[k - 1])
+            else:
+                at, q = (x.ravel() for x in np.indices(d.shape))
+            whose, own, far = np.r_[whose, q], np.r_[own, ids[at]], np.r_[far, d[at, q]]
+            order = np.lexsort((own, far, whose))
+            whose, own, far = whose[order], own[order], far[order]
+            nth = np.arange(len(whose)) - np.searchsorted(whose, whose)
+            whose, own, far = whose[nth < k], own[nth < k], far[nth < k]
+    if len(whose):
+        yield pa.RecordBatch.from_arrays([pa.array(names[whose]), pa.array(own), pa.array(far)], names=["query_id", "id", "distance"])
+
+
 def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """query_id, id, distance, rank (from 1): for each query its ``k`` nearest rows; ties by id. queries: the same two columns, read by the driver block by block."""
     spark = vectors.sparkSession
     ship(spark)
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     asked = queries.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"))
 
@@ -78,21 +109,7 @@ def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str
         sent = spark.sparkContext.broadcast((ids, matrix))  # a block at most
 
         def best(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, wanted = sent.value
-            for b in batches:
-                for a in range(0, b.num_rows, 8192):
-                    part = b.slice(a, 8192)
-                    own, (m, right) = part.column(0).to_numpy(), _matrix(part.column(1), wanted.shape[1])
-                    d = np.where(right[:, None], cosine_distances(m, wanted), 1.0)
-                    for q in range(len(names)):
-                        near = d[:, q]
-                        if len(near) > k:
-                            cut = np.partition(near, k - 1)[k - 1]
-                            at = np.flatnonzero(near <= cut)
-                        else:
-                            at = np.arange(len(near))
-                        at = at[np.lexsort((own[at], near[at]))][:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), names[q])), pa.array(own[at]), pa.array(near[at])], schema=schema)
+            return best_of_batches(batches, *sent.value, k)
 
         return rows.mapInArrow(best, "query_id long, id long, distance double")
 
